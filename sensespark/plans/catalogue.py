@@ -1,11 +1,342 @@
-"""The registered queries and the SQL that checks them."""
+"""The registered queries: the operators over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensespark.functions import mathx
+from sensespark.operators import context, distribution, huffman, lexicon, model, senses, training, trends
+from sensespark.plans import oracle
+from sensespark.sources import corpus, fixtures
+
+WINDOW = 4
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.plain_tokens(corpus.documents(spark, sf_dir))
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tokens(corpus.documents(spark, sf_dir))
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query
+def lexicon_topk(spark, sf_dir):
+    return lexicon.ranked_lexicon(_tokens(spark, sf_dir), 20)
+
+
+@query
+def lexicon_prune_rank(spark, sf_dir):
+    return lexicon.ranked_lexicon(_tokens(spark, sf_dir), 20, 10)
+
+
+@query
+def subsample_prob(spark, sf_dir):
+    pruned = lexicon.ranked_lexicon(_tokens(spark, sf_dir), 20)
+    return _round(lexicon.with_drop_probability(pruned, 1e-3).select("word", "freq", "p_drop"), "p_drop")
+
+
+@query
+def attr_joint_dist(spark, sf_dir):
+    return distribution.attribute_counts(_tokens(spark, sf_dir), "lang", "source")
+
+
+@query
+def hit_type_dist(spark, sf_dir):
+    return distribution.hits_by_type(_tokens(spark, sf_dir), fixtures.heads(fixtures.model(spark, sf_dir)), "lang")
+
+
+@query
+def hit_type_marginals(spark, sf_dir):
+    return distribution.hit_marginals(_tokens(spark, sf_dir), fixtures.heads(fixtures.model(spark, sf_dir)), "lang", "source")
+
+
+@query
+def skip_filtered_hits(spark, sf_dir):
+    kept = distribution.without(_tokens(spark, sf_dir), "lang:de,fr")
+    return distribution.hits_by_type(kept, fixtures.heads(fixtures.model(spark, sf_dir)), "source")
+
+
+@query
+def subcorpus_tokens(spark, sf_dir):
+    docs = corpus.documents(spark, sf_dir)
+    ranges = corpus.structures(docs).filter("lang = 'en'").select("beg", "end")
+    return corpus.within_ranges(corpus.tokens(docs).select("pos", "word"), ranges).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+@query
+def struct_merge_join(spark, sf_dir):
+    docs = corpus.documents(spark, sf_dir)
+    found = corpus.within_ranges(corpus.tokens(docs).select("pos"), corpus.structures(docs).select(F.col("doc_id").alias("struct_id"), "beg", "end"))
+    return found.groupBy("struct_id", "beg", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def epoch_natural_order(spark, sf_dir):
+    found = trends.epochs(_tokens(spark, sf_dir), "source")
+    key = F.array_join(mathx.natural_key(F.col("value")).cast("array<string>"), ", ")
+    return found.select("value", "epoch_no", F.concat(F.lit("<"), key, F.lit(">")).alias("sort_key"))
+
+
+@query
+def epoch_norm_filter(spark, sf_dir):
+    return trends.epochs(_tokens(spark, sf_dir), "source", 18000)
+
+
+def _counts(spark, sf_dir):
+    toks = _tokens(spark, sf_dir)
+    return trends.word_epoch_counts(toks, fixtures.model(spark, sf_dir).lexicon, trends.epochs(toks, "source"), "source")
+
+
+def _series(spark, sf_dir):
+    return trends.relative(_counts(spark, sf_dir))
+
+
+@query
+def word_epoch_freq(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query
+def epoch_relative_freq(spark, sf_dir):
+    return _round(_series(spark, sf_dir).select("word", "epoch_no", "normed", "rel"), "normed", "rel", digits=9)
+
+
+@query
+def trend_linreg(spark, sf_dir):
+    return _round(trends.linear(_series(spark, sf_dir)).select("word", "slope"), "slope", digits=9)
+
+
+@query
+def trend_mann_kendall_s(spark, sf_dir):
+    return trends.mann_kendall(_series(spark, sf_dir))
+
+
+@query
+def trend_theil_sen(spark, sf_dir):
+    return _round(trends.theil_sen(_series(spark, sf_dir)).select("word", "slope"), "slope", digits=9)
+
+
+@query
+def trend_angle(spark, sf_dir):
+    return trends.linear(_series(spark, sf_dir)).select("word", mathx.angle(F.col("slope"), F.col("epochs")).alias("angle"))
+
+
+@query
+def trend_minigraph(spark, sf_dir):
+    return trends.graphs(_series(spark, sf_dir))
+
+
+@query
+def trend_significance(spark, sf_dir):
+    return trends.significance(_series(spark, sf_dir))
+
+
+@query
+def order_year_trend(spark, sf_dir):
+    """Fewer than eight epochs: order statuses by the year of the order."""
+    orders = corpus.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("word"), F.date_format("o_orderdate", "yyyy").alias("year"))
+    counted = trends.word_epoch_counts(orders, orders.select("word").distinct(), trends.epochs(orders, "year"), "year")
+    return trends.graphs(trends.relative(counted))
+
+
+@query
+def sense_expected_pi(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return _round(model.expected_pi(m.senses, m.alpha).select("word_id", "sense", "pi"), "pi", digits=9)
+
+
+@query
+def active_senses(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return model.active(m.senses, m.alpha).groupBy("word_id").agg(F.count(F.lit(1)).alias("n_active"))
+
+
+@query
+def uniform_prior(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return _round(model.uniform_prior(m.senses, m.alpha).select("word_id", "sense", "log_prior"), "log_prior")
+
+
+@query
+def vector_norms(spark, sf_dir):
+    return _round(fixtures.model(spark, sf_dir).senses.select("word_id", "sense", mathx.norm(F.col("vec")).alias("norm")), "norm")
+
+
+def _head_senses(m):
+    return m.senses.filter(F.col("word_id").isin(*fixtures.HEADS))
+
+
+@query
+def sense_cosine_matrix(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return _round(model.sense_similarities(_head_senses(m)), "sim")
+
+
+def _nearest(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return model.nearest(model.active(_head_senses(m), m.alpha), m.senses.filter("cnt >= 5"))
+
+
+@query
+def nearest_long(spark, sf_dir):
+    return _round(_nearest(spark, sf_dir), "sim")
+
+
+@query
+def nearest_compact(spark, sf_dir):
+    return _round(model.compact(_nearest(spark, sf_dir)), "minsim", "maxsim")
+
+
+@query
+def model_export(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return _round(model.export(m.senses, m.alpha).select("row", "key", "prob", "frq"), "prob", digits=9)
+
+
+def _occ(spark, sf_dir):
+    m, toks = fixtures.model(spark, sf_dir), _positions(spark, sf_dir)
+    return m, toks, context.occurrences(toks, fixtures.heads(m))
+
+
+@query
+def kwic(spark, sf_dir):
+    _, toks, occ = _occ(spark, sf_dir)
+    return context.kwic(occ.filter("head_id = 50"), toks, 3)
+
+
+@query
+def context_window_infer(spark, sf_dir):
+    m, toks, occ = _occ(spark, sf_dir)
+    return context.inference_window(occ, toks, m.lexicon, WINDOW).withColumnRenamed("at", "pos")
+
+
+@query
+def context_window_train(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    found = context.training_window(_tokens(spark, sf_dir), m.lexicon, WINDOW)
+    return found.groupBy("word_id", "ctx_id", "delta").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def pair_score(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    pairs = fixtures.heads(m).select("head_id").crossJoin(m.lexicon.select(F.col("word_id").alias("ctx_id")))
+    return _round(context.pair_scores(pairs, m.senses, m.nodes, m.paths), "score")
+
+
+def _posterior(spark, sf_dir):
+    m, toks, occ = _occ(spark, sf_dir)
+    return m, toks, occ, senses.occurrence_posteriors(occ, toks, m, WINDOW)
+
+
+@query
+def posterior(spark, sf_dir):
+    return _round(_posterior(spark, sf_dir)[3].withColumnRenamed("at", "pos"), "p")
+
+
+def _rows(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return m, *senses.row_contexts(fixtures.context_rows(spark, sf_dir, m.words), m.lexicon, WINDOW)
+
+
+@query
+def desamb_status(spark, sf_dir):
+    return _rows(spark, sf_dir)[1].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def desamb_rows(spark, sf_dir):
+    m, status, found = _rows(spark, sf_dir)
+    scores = context.pair_scores(found.filter("ctx_id is not null").select("head_id", "ctx_id").distinct(), m.senses, m.nodes, m.paths)
+    best = context.best_sense(context.posteriors(found, scores, senses.log_priors(m.senses, m.alpha), ["row_id"]), ["row_id"])
+    out = status.join(best.select("row_id", "sense", "p"), "row_id", "left")
+    return _round(out.select("row_id", "status", F.concat(F.lit("c"), F.col("sense").cast("string")).alias("cluster"), "p"), "p")
+
+
+def _frequencies(spark, sf_dir, soft):
+    _, toks, occ, post = _posterior(spark, sf_dir)
+    return senses.sense_frequencies(post, occ, trends.epochs(toks, "source"), "source", fixtures.SENSES, soft)
+
+
+@query
+def sense_freqs_hard(spark, sf_dir):
+    return _frequencies(spark, sf_dir, False)
+
+
+@query
+def sense_freqs_soft(spark, sf_dir):
+    return _round(_frequencies(spark, sf_dir, True), *[f"s{k}" for k in range(fixtures.SENSES)], digits=4)
+
+
+@query
+def sense_concordance(spark, sf_dir):
+    _, toks, occ, post = _posterior(spark, sf_dir)
+    return senses.concordance(post, occ, toks, 0.9, 1.0, 20, 3)
+
+
+def _head_sketches(spark, sf_dir, m):
+    found = fixtures.sketches(spark, sf_dir).filter("cnt >= 5 and rnk >= 2")
+    return found.join(fixtures.heads(m).withColumnRenamed("hw", "head"), "head").select("doc_id", "head_id", "coll", "cnt", "rnk", "pos")
+
+
+@query
+def sketch_stats(spark, sf_dir):
+    m, _, _, post = _posterior(spark, sf_dir)
+    found = senses.sketch_statistics(_head_sketches(spark, sf_dir, m), post, fixtures.SENSES)
+    return _round(found.drop("dist"), "mean", "sd", "rnk", digits=4)
+
+
+@query
+def sketch_overlap(spark, sf_dir):
+    """Documents that two collocates of a head have in common."""
+    m = fixtures.model(spark, sf_dir)
+    rows = _head_sketches(spark, sf_dir, m).filter("cnt >= 10").select("head_id", "coll", "doc_id").distinct()
+    other = rows.select("head_id", F.col("coll").alias("other"), "doc_id")
+    return rows.join(other, ["head_id", "doc_id"]).filter("coll < other").groupBy("head_id", "coll", "other").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+@query
+def sample_positions(spark, sf_dir):
+    occ = _occ(spark, sf_dir)[2]
+    return lexicon.sample_positions(occ.select("hw", "pos"), 100, ["hw"])
+
+
+@query
+def sense_hierarchy(spark, sf_dir):
+    return model.hierarchy(model.sense_similarities(fixtures.model(spark, sf_dir).senses))
+
+
+@query
+def huffman_codes(spark, sf_dir):
+    return huffman.path_table(spark, fixtures.model(spark, sf_dir).lexicon)
+
+
+@query
+def train_smoke(spark, sf_dir):
+    toks = _tokens(spark, sf_dir)
+    words = lexicon.ranked_lexicon(toks, 20, 20).filter("word_id < 60")
+    options = training.Options(dim=16, senses=3, window=2, epochs=1)
+    state, _ = training.train(toks, words, options)
+    return model.expected_pi(training.sense_table(toks, state, words), options.alpha).select("word", "sense", "cnt", "pi")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
