@@ -4,22 +4,23 @@ Texts become sets of hashed 5-word shingles; sets with a Jaccard similarity of
 at least the threshold are linked.  The join runs in levels:
 
 1. Equal sets are one class, with its smallest id as representative.
-2. The shingles' hash space is cut into ``BANDS`` ranges; a set's key in a
-   range is made of its ``ROWS`` smallest hashes there.  Representatives that
-   share a key meet.  A pair at the threshold misses all ranges with a chance
-   of about (1 - 0.75^4)^64 = 3e-11, less with fewer shingles or more
-   similarity.  Only key and id are shuffled, and a key's holders are never
-   gathered: each is tied to the smallest.
-3. What is tied together is a neighbourhood.  Its sets are sorted by size and
-   cut into tiles of at most ``TILE`` sets; pairs of tiles whose sizes can
-   match are tasks of bounded memory.
-4. A task builds a signature tree per tile: nodes hold the OR of their sets'
-   token bitmaps and the range of their sizes.  A dual traversal drops node
-   pairs whose largest possible overlap is too small, and node pairs that are
-   linked throughout; what is left is compared exactly.
-5. First each tile is joined with itself, then what has come together is
-   represented by one set each, and only sets outside their neighbourhood's
-   largest group meet all others.
+2. A set has ``BANDS`` keys, each made of ``ROWS`` minhash values.
+   Representatives that share a key form a block.  A pair at the threshold
+   shares none with a chance of (1 - 0.75^4)^48 = 1e-8, and of 1e-11 at 0.8.
+   Keys are counted before any block is formed, keys of one set are dropped,
+   and keys of just two sets are made into distinct pairs.
+3. A block's members bring their size and token bitmap, never their set.
+   Blocks above ``TILE`` members are cut into tiles, and pairs of tiles are
+   tasks' units, so that no unit grows with the data.
+4. A unit builds signature trees: nodes hold the OR of their sets' token
+   bitmaps, the range of their sizes and the most shingles on one bit.  A dual
+   traversal drops node pairs whose largest possible overlap is too small, and
+   what is left at the leaves are candidates, compared exactly on whole texts.
+5. The traversal runs twice.  In the first run a candidate that looks linked
+   connects at once, and pairs connected so are passed over: a large group of
+   near copies gives about one candidate per copy.  In the second run only
+   links that the exact comparison confirmed connect, so each pair that the
+   first one passed over wrongly is compared after all.
 6. Links become components.
 
 Defined cases: words are lower-cased (A-Z) and split at space and 09 to 0D; a
@@ -48,11 +49,14 @@ from .storage import materialise
 WORDS = 5
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BANDS = 64
+BANDS = 48
 ROWS = 4
-TILE = 512
+TILE = 2048
 LEAF = 16
-BITS = 2048
+#: Bitmaps have at least so many bits, and twice their set's size.
+LEAST_BITS = 1024
+#: Estimated similarity from which the first run takes two sets as linked.
+LIKELY = 0.8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,65 +101,89 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A key for each range that holds a hash: its ``rows`` smallest, combined."""
-    shift = np.uint64(64 - (bands.bit_length() - 1))
-    edges = np.searchsorted(hashes, np.arange(bands, dtype=np.uint64) << shift)
-    ends = np.append(edges[1:], len(hashes))
-    keys = np.zeros(bands, np.uint64)
-    for r in range(rows):
-        inside = edges + r < ends
-        part = hashes[np.minimum(edges + r, len(hashes) - 1)] if len(hashes) else keys
-        keys = _mixed(keys * np.uint64(0x100000001B3) + np.where(inside, part, np.uint64(r + 1)))
-    return keys[ends > edges]
+_FACTORS = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys: minhash values under fixed permutations, ``ROWS`` at a time."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        spread = hashes[at : at + 512, None] * _FACTORS
+        spread ^= spread >> np.uint64(32)
+        np.minimum(least, (spread * np.uint64(0x9E3779B97F4A7C15)).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        keys = _mixed(keys * np.uint64(0x100000001B3) + row)
+    return keys
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The set's tokens on a power of two of bits, by their lowest bits."""
+    bits = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _crowd(hashes: np.ndarray) -> int:
+    """The most tokens on one bit of the half-size bitmap, so of the whole one too."""
+    bits = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()) // 2
+    return int(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64)).max())
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+_SIGNS = "doc_id long, n_shingles long, print binary, keys array<long>, bits binary, crowd int"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, prints, keys = [], [], []
+        sizes, prints, keys, bits, crowds = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text)
             sizes.append(len(found))
             prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             keys.append(_signed(band_keys(found)))
+            bits.append(bitmap(found) if len(found) else None)
+            crowds.append(_crowd(found) if len(found) else 0)
         ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-            ["doc_id", "n_shingles", "print", "keys"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(bits, pa.binary()), pa.array(crowds, pa.int32())],
+            ["doc_id", "n_shingles", "print", "keys", "bits", "crowd"],
         )
 
 
 class Tree:
-    """A signature tree over sets that are sorted by size.
+    """A signature tree over members whose bitmaps are equally long.
 
-    Level 0 are leaves of ``LEAF`` sets; each further level joins two nodes.
-    A node has the OR of its sets' bitmaps, their least and largest size, and
-    the most shingles that one of its sets has on one bit.
+    Members are sorted by size.  Level 0 are leaves of ``LEAF`` members; each
+    further level joins two nodes.  A node has the OR of its members' bitmaps,
+    their least and largest size, and the most shingles that one has on a bit.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.sizes = sets, np.array([len(s) for s in sets], np.int64)
-        self.maps = np.zeros((len(sets), BITS // 8), np.uint8)
-        crowds = np.zeros(len(sets), np.int64)
-        for i, s in enumerate(sets):
-            on_bit = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
-            self.maps[i], crowds[i] = np.packbits(on_bit > 0), on_bit.max()
-        self.maps = self.maps.view(np.uint64)
-        self.levels, step = [(self.maps, self.sizes, self.sizes, crowds)], LEAF
-        while step == LEAF or len(self.levels[-1][1]) > 1:
-            maps, least, most, crowds = self.levels[-1]
-            at = np.arange(0, len(least), step)
-            self.levels.append((np.bitwise_or.reduceat(maps, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(crowds, at)))
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, crowds: np.ndarray, at: np.ndarray):
+        self.maps, self.sizes, self.crowds, self.at = maps, sizes, crowds, at
+        self.weights = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        self.levels, step = [], LEAF
+        level = (maps, sizes, sizes, crowds)
+        while not self.levels or len(self.levels[-1][1]) > 1:
+            cut = np.arange(0, len(level[1]), step)
+            level = tuple(f.reduceat(x, cut, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum), level, strict=True))
+            self.levels.append(level)
             step = 2
-        del self.levels[0]
+
+    def halved(self) -> Tree:
+        """The same members with bitmaps of half the length."""
+        half = self.maps.shape[1] // 2
+        return Tree(self.maps[:, :half] | self.maps[:, half:], self.sizes, self.crowds, self.at)
 
     def members(self, level: int, node: int) -> range:
-        return range(node * (LEAF << level), min(len(self.sets), (node + 1) * (LEAF << level)))
+        return range(node * (LEAF << level), min(len(self.sizes), (node + 1) * (LEAF << level)))
 
 
 def _needed(a, b, percent: int):
@@ -178,25 +206,29 @@ def _possible(left: tuple, right: tuple, percent: int) -> bool:
     return min(most_a, most_b, common * min(crowd_a, crowd_b)) >= _needed(least_a, least_b, percent)
 
 
-def _leaf_pairs(a: Tree, b: Tree, rows: range, cols: range, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of sets that size and bitmaps leave: overlap is at most a set's size less its bits that the other lacks."""
-    ra, rb = np.arange(rows.start, rows.stop), np.arange(cols.start, cols.stop)
+def _leaf_pairs(a: Tree, b: Tree, rows: range, cols: range, percent: int) -> Iterator[tuple[int, int, bool]]:
+    """Member pairs that size and bitmaps leave, and whether they look linked.
+
+    A set's shingles on bits that the other lacks are not shared, so overlap is
+    at most its size less their number.
+    """
+    ra, rb = slice(rows.start, rows.stop), slice(cols.start, cols.stop)
     na, nb = a.sizes[ra][:, None], b.sizes[rb][None, :]
-    alone_a = np.bitwise_count(a.maps[ra][:, None, :] & ~b.maps[rb][None, :, :]).sum(axis=2, dtype=np.int64)
-    alone_b = np.bitwise_count(~a.maps[ra][:, None, :] & b.maps[rb][None, :, :]).sum(axis=2, dtype=np.int64)
+    both = np.bitwise_count(a.maps[ra][:, None, :] & b.maps[rb][None, :, :]).sum(axis=2, dtype=np.int64)
+    alone_a, alone_b = a.weights[ra][:, None] - both, b.weights[rb][None, :] - both
     fits = np.minimum(na - alone_a, nb - alone_b) >= _needed(na, nb, percent)
+    bits = a.maps.shape[1] * 64
+    missing = alone_a / (1 - b.weights[rb][None, :] / bits).clip(0.05) + alone_b / (1 - a.weights[ra][:, None] / bits).clip(0.05)
+    likely = (na + nb - missing) >= LIKELY * (na + nb + missing)
     for i, j in zip(*np.nonzero(fits), strict=True):
-        yield int(ra[i]), int(rb[j])
+        yield rows.start + int(i), cols.start + int(j), bool(likely[i, j])
 
 
 class _Groups:
     """Union-find over positions."""
 
-    def __init__(self, labels: np.ndarray):
-        self.root = list(range(len(labels)))
-        first: dict = {}
-        for i, label in enumerate(labels.tolist()):
-            self.join(i, first.setdefault(label, i))
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -210,165 +242,190 @@ class _Groups:
         return i != j
 
 
-def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, labels: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links between two tiles (or within one) by a dual traversal.
-
-    ``labels`` tell which sets, of the left and then the right, are known to
-    be connected.  Enough links come back to connect what is linked, no more:
-    pairs that earlier links connect already are not compared.
-    """
-    a = Tree(left)
-    b, shift = (a, 0) if right is None else (Tree(right), len(left))
-    groups, links = _Groups(labels), []
+def _traverse(a: Tree, b: Tree, groups: _Groups, out: list, percent: int, trust: bool) -> None:
+    """Dual traversal of two trees, or of one with itself."""
     todo = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while todo:
         la, na, lb, nb = todo.pop()
-        if right is None and (nb << lb) + (1 << lb) <= (na << la):
+        if a is b and (nb + 1) << lb <= na << la:
             continue
         if not _possible(tuple(x[na] for x in a.levels[la]), tuple(x[nb] for x in b.levels[lb]), percent):
             continue
         rows, cols = a.members(la, na), b.members(lb, nb)
-        roots = {groups.find(i) for i in rows}
-        if len(roots) == 1 and roots == {groups.find(j + shift) for j in cols}:
+        root = groups.find(a.at[rows[0]])
+        if all(groups.find(a.at[i]) == root for i in rows) and all(groups.find(b.at[j]) == root for j in cols):
             continue
-        if la or lb:
-            for x in ((2 * na, 2 * na + 1) if la >= lb else (na,)):
-                for y in ((2 * nb, 2 * nb + 1) if lb >= la else (nb,)):
-                    down_a, down_b = la - (la >= lb), lb - (lb >= la)
-                    if x < len(a.levels[down_a][1]) and y < len(b.levels[down_b][1]):
-                        todo.append((down_a, x, down_b, y))
+        if not la and not lb:
+            for i, j, likely in _leaf_pairs(a, b, rows, cols, percent):
+                x, y = a.at[i], b.at[j]
+                if (a is not b or i < j) and groups.find(x) != groups.find(y):
+                    out.append((x, y))
+                    if trust and likely:
+                        groups.join(x, y)
             continue
-        for i, j in _leaf_pairs(a, b, rows, cols, percent):
-            if (right is None and i >= j) or groups.find(i) == groups.find(j + shift):
-                continue
-            shared = len(np.intersect1d(a.sets[i], b.sets[j], assume_unique=True))
-            if shared * 100 >= percent * (len(a.sets[i]) + len(b.sets[j]) - shared):
-                groups.join(i, j + shift)
-                links.append((i, j))
-    return links
+        for x in (2 * na, 2 * na + 1) if la >= lb else (na,):
+            for y in (2 * nb, 2 * nb + 1) if lb >= la else (nb,):
+                down_a, down_b = la - (la >= lb), lb - (lb >= la)
+                if x < len(a.levels[down_a][1]) and y < len(b.levels[down_b][1]):
+                    todo.append((down_a, x, down_b, y))
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """``df`` (near, rep, text) with the text as its set's bytes."""
+def tree_join(sizes: np.ndarray, bits: list[bytes], crowds: np.ndarray, percent: int = PERCENT, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Candidate pairs of positions among members with sizes and bitmaps.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([shingles(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["near", "rep", "hashes"])
-
-    return df.mapInArrow(run, "near long, rep long, hashes binary")
-
-
-def _tiles(members: DataFrame, tile: int) -> DataFrame:
-    """(near, rep, tile, least, most): each neighbourhood in tiles by size.
+    With ``labels`` members of equal label are connected and nothing else is;
+    without, candidates that look linked connect.
 
-    Few neighbourhoods exceed a tile.  Those are ranked through buckets of
-    size and hash whose counts are summed first, so that no task sees a whole
-    one: a bucket holds part of the sets of one size.
+    There is a tree for each length of bitmaps.  Sets that link are at most a
+    factor of two apart in it, so a tree meets itself and the next longer one,
+    folded to its length.
     """
-    bucket = F.struct("n_shingles", F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(64)).alias("salt"))
-    with_bucket = members.withColumn("bucket", bucket)
-    counts = with_bucket.groupBy("near", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("near").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("near", "bucket", "first")
-    rank = F.row_number().over(Window.partitionBy("near", "bucket").orderBy("rep")) - 1
-    ranked = with_bucket.withColumn("rank", rank).join(firsts, ["near", "bucket"])
-    return ranked.select("near", "rep", "n_shingles", F.floor((F.col("first") + F.col("rank")) / F.lit(tile)).cast("int").alias("tile"))
+    if len(sizes) == 2:
+        small, large = (0, 1) if len(bits[0]) <= len(bits[1]) else (1, 0)
+        if sizes[small] * 100 < percent * sizes[large] or sizes[large] * 100 < percent * sizes[small]:
+            return []
+    order = np.argsort(sizes, kind="stable")
+    trees: dict[int, Tree] = {}
+    lengths = np.array([len(bits[i]) for i in order])
+    for n in np.unique(lengths).tolist():
+        at = order[lengths == n]
+        maps = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), n // 8)
+        trees[n] = Tree(maps, sizes[at], crowds[at], at)
+    groups, out, first = _Groups(len(sizes)), [], {}
+    for i, label in enumerate([] if labels is None else labels.tolist()):
+        groups.join(i, first.setdefault(label, i))
+    for n, tree in trees.items():
+        _traverse(tree, tree, groups, out, percent, labels is None)
+        if 2 * n in trees:
+            _traverse(tree, trees[2 * n].halved(), groups, out, percent, labels is None)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pd.DataFrame]:
+    """Rows with equal values in the first ``keys`` columns, which are sorted."""
+    held: list[pd.DataFrame] = []
+    names: list[str] = []
+    for batch in batches:
+        rows = batch.to_pandas()
+        names = list(rows.columns[:keys])
+        values = rows[names].to_numpy()
+        if not len(rows):
+            continue
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+        if held and (held[-1][names].iloc[-1].to_numpy() != values[0]).any():
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+            held.append(rows.iloc[a:b])
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        held.append(rows.iloc[cuts[-2] :])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _candidates(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
 
+        def flush() -> pa.RecordBatch:
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-def _join_tiles(sets: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the tile pairs (near, i, j), each one task's group.
+        for unit in _runs(batches, 3):
+            ids = unit["rep"].to_numpy()
+            labels = unit["label"].to_numpy() if "label" in unit else None
+            if labels is not None and (labels == labels[0]).all():
+                continue
+            for i, j in tree_join(unit["n_shingles"].to_numpy(), unit["bits"].tolist(), unit["crowd"].to_numpy().astype(np.int64), percent, labels):
+                if ids[i] != ids[j]:
+                    found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if len(found) > 100_000:
+                yield flush()
+        yield flush()
 
-    ``placed`` has near, rep, tile, group: which sets are connected already.
-    """
-    sides = pairs.select("near", "i", "j", F.col("i").alias("tile"), F.lit(0).alias("side")).unionByName(
-        pairs.filter("i <> j").select("near", "i", "j", F.col("j").alias("tile"), F.lit(1).alias("side"))
-    )
-    rows = sides.join(placed, ["near", "tile"]).join(sets, ["near", "rep"]).select("near", "i", "j", "side", "rep", "group", "hashes")
+    return run
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(n=rows["hashes"].str.len()).sort_values(["side", "n", "rep"], kind="stable")
-        hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
-        cut, ids = int((rows["side"] == 0).sum()), rows["rep"].to_numpy()
-        inner = cut == len(rows)
-        links = tree_join(hashes[:cut], None if inner else hashes[cut:], rows["group"].to_numpy(), percent) if cut else []
-        found = np.array([(ids[i], ids[j + (0 if inner else cut)]) for i, j in links], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return rows.groupBy("near", "i", "j").applyInPandas(run, "a long, b long")
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _runs(batches, 1):
+            own = unit["b"].isna().to_numpy()
+            first = [shingles(t) for t in unit["text"][own]]
+            links = []
+            for b, text in zip(unit["b"][~own], unit["text"][~own], strict=True):
+                other = shingles(text)
+                for mine in first:
+                    shared = len(np.intersect1d(mine, other, assume_unique=True))
+                    if len(other) and shared * 100 >= percent * (len(mine) + len(other) - shared):
+                        links.append(int(b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([int(unit["a"].iloc[0])] * len(links), pa.int64()), pa.array(links, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _units(blocks: DataFrame, tile: int) -> DataFrame:
+    """(key, i, j, rep): blocks (key, rep, n) as pairs of tiles.
+
+    A block within ``tile`` is one unit; of a larger one each pair of tiles is.
+    """
+    count = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), "rep"), count.cast("long")).cast("int")
+    tiled = blocks.withColumn("tiles", count).withColumn("own", own)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    return tiled.select("key", "rep", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "rep")
 
 
-def link_classes(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame | None:
-    """Links (a, b) between representatives; ``classes``: rep, n_shingles, keys.
+def link_classes(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """Links (a, b), a < b, between representatives.
 
-    Returns enough links to connect what is linked, None if there are none.
+    ``classes`` has rep, n_shingles, keys, bits and crowd.  Enough links come
+    back to connect what is linked; see step 4 above.
     """
     keyed = classes.select("rep", F.explode("keys").alias("key"))
-    tops = keyed.groupBy("key").agg(F.min("rep").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = materialise(keyed.join(tops, "key").filter("rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b")).distinct(), "near-ties")
-    if ties.isEmpty():
-        return None
-    near = connected_components(ties)
-    sizes = near.select(F.col("id").alias("rep"), F.col("component").alias("near")).join(classes.select("rep", "n_shingles"), "rep")
-    members = sizes.groupBy("near", "rep").agg(F.max("n_shingles").alias("n_shingles"))
-    tiles = materialise(_tiles(members, tile), "near-tiles")
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(tiles.select("rep", "near"), "rep")
-    sets = materialise(_sets(texts.select("near", "rep", "text")), "near-sets")
-    spans = tiles.groupBy("near", "tile").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    spans = materialise(spans, "near-spans")
-
-    # Each tile with itself.
-    alone = tiles.select("near", "rep", "tile", F.col("rep").alias("group"))
-    links = materialise(_join_tiles(sets, alone, spans.select("near", F.col("tile").alias("i"), F.col("tile").alias("j")), percent), "near-links")
-    if spans.filter("tile > 0").isEmpty():
-        return links
-
-    def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
-        of = connected_components(found).select(F.col("id").alias("rep"), "component")
-        return rows.join(of, "rep", "left").select("near", "rep", "tile", "n_shingles", F.coalesce("component", "rep").alias("group"))
-
-    # One set of each group of a tile meets those of the other tiles of its neighbourhood.
-    wide = tiles.join(spans.filter("tile > 0").select("near").distinct(), "near", "left_semi")
-    state = materialise(grouped(wide, links), "near-groups")
-    heads = state.filter("rep = group").select("near", "rep", "n_shingles")
-    small = materialise(_tiles(heads, tile), "near-heads").withColumn("group", F.col("rep"))
-    more = materialise(_join_tiles(sets, small, small.select("near", F.col("tile").alias("i"), F.col("tile").alias("j")).distinct(), percent), "near-links")
-    links = links.unionByName(more)
-    state = materialise(grouped(wide, links), "near-groups")
-
-    # What is outside its neighbourhood's largest group meets everything else.
-    counts = state.groupBy("near", "group").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("near").agg(F.max(F.struct("n", "group")).alias("x")).select("near", F.col("x.group").alias("largest"))
-    rest = state.join(most, "near").filter("group <> largest").select("near", "rep", "n_shingles", "group")
-    rest = materialise(rest, "near-rest")
-    if rest.isEmpty():
-        return links
-    few = materialise(_tiles(rest.drop("group"), tile).join(rest.select("rep", "group"), "rep"), "near-few")
-    span_few = few.groupBy("near", "tile").agg(F.min("n_shingles").alias("least_i"), F.max("n_shingles").alias("most_i")).withColumnRenamed("tile", "i")
-    span_all = spans.select("near", F.col("tile").alias("j"), "least", "most")
-    pairs = span_few.join(span_all, "near").filter(f"most_i * 100 >= {percent} * least and most * 100 >= {percent} * least_i")
-    # Tiles of the rest are numbered below 0, so that both kinds go by one name.
-    both = few.select("near", "rep", (-F.col("tile") - 1).alias("tile"), "group").unionByName(state.select("near", "rep", "tile", "group"))
-    last = _join_tiles(sets, both, pairs.select("near", (-F.col("i") - 1).alias("i"), "j"), percent)
-    return links.unionByName(materialise(last, "near-links"))
+    # Partial aggregation: a key sends one row per task, however many sets have it.
+    counts = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    counts = materialise(counts, "near-keys")
+    rows = keyed.join(counts.filter("n > 2").select("key", "n"), "key")
+    twos = counts.filter("n = 2").select("low", "high").distinct()
+    twos = twos.select(F.xxhash64("low", "high").alias("key"), F.explode(F.array("low", "high")).alias("rep"), F.lit(2).cast("long").alias("n"))
+    units = _units(rows.select("key", "rep", "n").unionByName(twos), tile)
+    members = units.join(classes.select("rep", "n_shingles", "bits", "crowd"), "rep").select("key", "i", "j", "rep", "n_shingles", "bits", "crowd")
+    members = materialise(members, "near-members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = materialise(documents.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
+
+    def confirmed(rows: DataFrame) -> DataFrame:
+        units = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+        found = materialise(units.mapInArrow(_candidates(percent), "a long, b long").distinct(), "near-candidates")
+        sides = found.select("a", "b", F.col("b").alias("doc_id")).unionByName(
+            found.select("a", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct()
+        )
+        pairs = texts.join(sides, "doc_id").select("a", "b", "text")
+        return materialise(pairs.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_verify(percent), "a long, b long"), "near-links")
+
+    links = confirmed(members)
+    known = connected_components(links).withColumnRenamed("id", "linked")
+    labelled = members.join(known, F.col("rep") == F.col("linked"), "left").withColumn("label", F.coalesce("component", "rep"))
+    return links.unionByName(confirmed(labelled.drop("linked", "component")))
 
 
 def link_documents(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     documents = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(documents.mapInArrow(_sign, "doc_id long, n_shingles long, print binary, keys array<long>"), "shingle-signs")
+    signed = materialise(documents.mapInArrow(_sign, _SIGNS), "shingle-signs")
     grouped = signed.filter("print is not null").groupBy("print")
     classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")), "shingle-classes")
+    classes = classes.filter("rep is not null")
     owners = signed.join(classes.select(F.col("print").alias("p"), "rep"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
-    links = link_classes(documents, owners.select("rep", "n_shingles", "keys"), percent, tile)
-    member = signed.select("doc_id", "n_shingles", "print")
-    repeated = classes.filter("n > 1 and rep is not null").select(F.col("print").alias("p"), "rep")
-    rows = member.join(repeated, F.col("print") == F.col("p"), "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    if links is None:
-        return rows.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    owners = materialise(owners.select("rep", "n_shingles", "keys", "bits", "crowd"), "shingle-owners")
+    links = materialise(link_classes(documents, owners, percent, tile), "near-links")
     found = materialise(connected_components(links), "shingle-components").withColumnRenamed("id", "linked")
+    repeated = classes.filter("n > 1").select(F.col("print").alias("p"), "rep")
+    rows = signed.select("doc_id", "n_shingles", "print").join(repeated, F.col("print") == F.col("p"), "left")
+    rows = rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     return rows.join(found, F.col("rep") == F.col("linked"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
