@@ -149,16 +149,21 @@ def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often the two words stand before a third one.
 
     All pairs of words are hashed to ``BUCKETS`` buckets; only those in a
-    bucket with a wanted pattern go on.  The list of buckets is what is
-    broadcast, and has at most ``BUCKETS`` rows.
+    bucket with a wanted pattern leave their text.  They are counted before the
+    join that drops what shares a bucket by chance.  The driver gets the list
+    of wanted buckets, at most ``BUCKETS`` small numbers, and sends one byte
+    for each bucket with the plan.
     """
     bucket = lambda p: F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int")
-    wanted = patterns.select(bucket(F.col("pattern")).alias("bucket")).distinct()
+    marks = bytearray(BUCKETS)
+    for row in patterns.select(bucket(F.col("pattern")).alias("bucket")).distinct().collect():
+        marks[row["bucket"]] = 1
+    wanted = lambda p: F.substring(F.lit(marks), bucket(p) + 1, F.lit(1)) == F.lit(bytearray([1]))
     words = F.regexp_extract_all(_normal(F.col("text")), F.lit(WORD), F.lit(0))
     pairs = _let(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
-    every = texts.select(F.explode(pairs).alias("pattern")).withColumn("bucket", bucket(F.col("pattern")))
-    near = every.join(F.broadcast(wanted), "bucket").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    return near.join(patterns.select("pattern"), "pattern", "left_semi")
+    every = texts.select(F.explode(F.filter(pairs, wanted)).alias("pattern"))
+    counts = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    return counts.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
 def pattern_scores(slots: DataFrame, texts: DataFrame, min_support: int = MIN_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
