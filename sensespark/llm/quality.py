@@ -12,14 +12,14 @@ hashed, sorted and compared within the row, so nothing is exploded.
 
 Defined cases: a null text has no words and fails the base rule; a null
 stratum is a stratum of its own; documents with several labels count once for
-each; labels of null are ignored; rows that repeat are judged alike; an empty
-table gives an empty result, and no labels give no learned cutoffs; other
-columns are ignored by ``judge`` and kept by ``keep_good``.
+each; labels of null are ignored; rows that repeat are judged alike, rows that
+share an id each on its own; an empty table gives an empty result, and no labels
+give no learned cutoffs; other columns are ignored by ``judge`` and kept by
+``keep_good``.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -87,13 +87,17 @@ def text_statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, base statistics) of each row, narrow."""
+def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", with_row: bool = False) -> DataFrame:
+    """(doc_id, stratum, base statistics [, __row]) of each row.
+
+    ``with_row`` adds the whole row as one struct, whose names can't clash.
+    """
     text = F.col("__text")
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("__text"))
+    whole = [F.struct(*df.columns).alias("__row")] * with_row
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("__text"), *whole)
     found = {k: v.alias(k) for k, v in text_statistics(text).items()}
-    return rows.withColumn("__words", words).select("doc_id", "stratum", *found.values())
+    return rows.withColumn("__words", words).select("doc_id", "stratum", *found.values(), *["__row"] * with_row)
 
 
 def rule_values() -> dict[str, Column]:
@@ -178,10 +182,10 @@ def judge_documents(documents: DataFrame, labels: DataFrame, stratum_col: str =
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
     """The rows of ``documents`` that are kept, with their columns.
 
-    The verdict is computed beside each row, so that texts are never shuffled.
+    Rows are written once beside their statistics, of which the cutoffs read
+    the narrow columns only; then each row is judged where it lies.  Texts are
+    never shuffled, and rows that share an id are judged each on their own.
     """
-    stats = materialise(statistics(documents, id_col, text_col, stratum_col), "quality-statistics")
-    cutoffs = materialise(learn_cutoffs(stats, labels, **options), "quality-cutoffs")
-    good = judge(stats, cutoffs).filter("kept")
-    tag = uuid.uuid4().hex[:8]
-    return documents.join(good.select(F.col("doc_id").alias(f"k{tag}")).distinct(), documents[id_col].eqNullSafe(F.col(f"k{tag}")), "left_semi")
+    stats = materialise(statistics(documents, id_col, text_col, stratum_col, with_row=True), "quality-statistics")
+    cutoffs = materialise(learn_cutoffs(stats.drop("__row"), labels, **options), "quality-cutoffs")
+    return judge(stats, cutoffs).filter("kept").select("__row.*")
