@@ -43,7 +43,8 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-_PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: At most 255; the zeros before a number may be all of it.
+_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9]?)"
 MIN_SCORE = 0.8
 MIN_SUPPORT = 5
 ROUNDS = 4

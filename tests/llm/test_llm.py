@@ -160,6 +160,13 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_spans(empty).count() == 0 and pii.redact(empty).count() == 0
 
 
+def test_address_parts(spark):
+    parts = ["0", "00", "7", "007", "10", "99", "100", "199", "200", "249", "250", "255", "0255", "256", "260", "300", "999", "0256", "1000"]
+    df = spark.createDataFrame([(p, f"at 10.0.0.{p} or {p}.0.20.1") for p in parts], "part string, text string")
+    for r in df.select("part", F.size(pii.base_spans(F.col("text"))).alias("n")).collect():
+        assert r["n"] == (2 if int(r["part"]) <= 255 else 0), r["part"]
+
+
 def test_context_discovers_unseen_identifiers(spark):
     texts = [f"please write to: u{i}@mail.example for more" for i in range(30)] + ["please write to: member7781 for more"] + ["we walk to the house 123456"] * 5
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
