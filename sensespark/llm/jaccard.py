@@ -378,11 +378,11 @@ def _units(blocks: DataFrame, tile: int) -> DataFrame:
     return tiled.select("key", "rep", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "rep")
 
 
-def link_classes(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """Links (a, b), a < b, between representatives.
+def class_components(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """(id, component) of the representatives that have links.
 
-    ``classes`` has rep, n_shingles, keys, bits and crowd.  Enough links come
-    back to connect what is linked; see step 4 above.
+    ``classes`` has rep, n_shingles, keys, bits and crowd.  The second run's
+    links extend the stars that the first one's links have made.
     """
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     # Partial aggregation: a key sends one row per task, however many sets have it.
@@ -406,10 +406,12 @@ def link_classes(documents: DataFrame, classes: DataFrame, percent: int = PERCEN
         pairs = texts.join(sides, "doc_id").select("a", "b", "text")
         return materialise(pairs.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_verify(percent), "a long, b long"), "near-links")
 
-    links = confirmed(members)
-    known = connected_components(links).withColumnRenamed("id", "linked")
-    labelled = members.join(known, F.col("rep") == F.col("linked"), "left").withColumn("label", F.coalesce("component", "rep"))
-    return links.unionByName(confirmed(labelled.drop("linked", "component")))
+    known = materialise(connected_components(confirmed(members)), "near-components")
+    labelled = members.join(known, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep"))
+    more = confirmed(labelled.drop("id", "component"))
+    if more.isEmpty():
+        return known
+    return materialise(connected_components(more.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))), "near-components")
 
 
 def link_documents(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -421,8 +423,7 @@ def link_documents(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     classes = classes.filter("rep is not null")
     owners = signed.join(classes.select(F.col("print").alias("p"), "rep"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
     owners = materialise(owners.select("rep", "n_shingles", "keys", "bits", "crowd"), "shingle-owners")
-    links = materialise(link_classes(documents, owners, percent, tile), "near-links")
-    found = materialise(connected_components(links), "shingle-components").withColumnRenamed("id", "linked")
+    found = class_components(documents, owners, percent, tile).withColumnRenamed("id", "linked")
     repeated = classes.filter("n > 1").select(F.col("print").alias("p"), "rep")
     rows = signed.select("doc_id", "n_shingles", "print").join(repeated, F.col("print") == F.col("p"), "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
