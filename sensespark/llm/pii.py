@@ -137,7 +137,7 @@ def _slots(text: Column, spans: Column) -> Column:
     def described(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["start"] - 79, F.lit(1)), F.least(x["start"], F.lit(80)))
         pair = F.regexp_extract(_normal(before), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 0)
-        pair = F.regexp_replace(F.trim(pair), r"[\x20\x09-\x0D]+", " ")
+        pair = F.trim(F.regexp_replace(pair, r"[\x20\x09-\x0D]+", " "))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed"), pair.alias("pattern"),
             F.lower(F.substring(text, x["start"] + 1, x["end"] - x["start"])).alias("instance"),

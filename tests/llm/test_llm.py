@@ -174,6 +174,14 @@ def test_context_discovers_unseen_identifiers(spark):
     assert rows[30] == "context:17:27" and rows[31] == ""
 
 
+def test_slots_after_line_ends_and_tabs(spark):
+    gaps = ["\n", "\t", "\r\n"]
+    texts = [f"please write to:{g}u{i}@mail.example for more" for g in gaps for i in range(6)] + [f"please write to:{g}member7781 for more" for g in gaps]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["s"] for r in pii.find_spans(df).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert [rows[18 + k] for k in range(3)] == ["context:17:27", "context:17:27", "context:18:28"]
+
+
 def brute_links(texts):
     sets = {}
     for d, t in texts:
