@@ -72,26 +72,30 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def positions(text: Column, pattern: str) -> Column:
+def positions(text: Column, pattern: str, numbered: bool = False) -> Column:
     """array<struct<start, end, match>> of a pattern's matches, in code points.
 
     The text between matches and the matches themselves alternate, so running
-    lengths are the positions.
+    lengths are the positions.  With ``numbered``, for patterns that match whole
+    words, ``number`` is added: how many words of the text precede the match.
     """
+    fields = "start:int,end:int,match:string" + ",number:int" * numbered
 
     def placed(matches: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+        words = lambda g: [F.regexp_count(g, F.lit(WORD)).alias("words")] * numbered
+        pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("m"), *words(g)))
+        start = F.struct(F.lit(0).alias("at"), *[F.lit(0).alias("words")] * numbered, F.array().cast(f"array<struct<{fields}>>").alias("out"))
 
         def step(state: Column, piece: Column) -> Column:
             begin = state["at"] + piece["gap"]
             end = begin + F.coalesce(piece["n"], F.lit(0))
+            number = [state["words"] + piece["words"]] if numbered else []
+            found = F.struct(begin.alias("start"), end.alias("end"), piece["m"].alias("match"), *[n.alias("number") for n in number])
             return F.struct(
                 end.alias("at"),
-                F.when(piece["m"].isNull(), state["out"])
-                .otherwise(F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), piece["m"].alias("match")))))
-                .alias("out"),
+                *[(n + 1).alias("words") for n in number],
+                F.when(piece["m"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(found))).alias("out"),
             )
 
         return F.aggregate(pieces, start, step, lambda s: s["out"])
@@ -119,10 +123,20 @@ def _normal(text: Column) -> Column:
 
 
 def _slots(text: Column, spans: Column) -> Column:
-    """Seeds and identifier-like words, each with the two words before it."""
-    words = positions(text, r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+")
+    """Seeds and identifier-like words, each with the two words before it.
+
+    Only what begins with its word is a slot.  A seed that does so begins with
+    a word that has a digit or an @, so that word's number is the seed's.  The
+    two words come from the words that ``_occurrences`` counts pairs of.
+    """
+    marked = positions(text, r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+", numbered=True)
+    words = F.regexp_extract_all(_normal(text), F.lit(WORD), F.lit(0))
+    return _let(marked, lambda m: _let(words, lambda w: _slots_among(text, spans, m, w)))
+
+
+def _slots_among(text: Column, spans: Column, marked: Column, words: Column) -> Column:
     trimmed = F.transform(
-        words,
+        marked,
         lambda w: F.struct(
             (w["start"] + F.length(F.regexp_extract(w["match"], r"^[^\p{L}0-9+@]*", 0))).alias("start"),
             (w["end"] - F.length(F.regexp_extract(w["match"], r"[^\p{L}0-9]*$", 0))).alias("end"),
@@ -133,17 +147,18 @@ def _slots(text: Column, spans: Column) -> Column:
     )
     seeds = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("seed")))
     others = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(False).alias("seed")))
+    # The number of the word that begins at a slot; null where none does.
+    number = F.map_from_arrays(F.transform(marked, lambda w: w["start"]), F.transform(marked, lambda w: w["number"]))
 
-    def described(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - 79, F.lit(1)), F.least(x["start"], F.lit(80)))
-        pair = F.regexp_extract(_normal(before), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 0)
-        pair = F.trim(F.regexp_replace(pair, r"[\x20\x09-\x0D]+", " "))
+    def described(x: Column, numbers: Column) -> Column:
+        n = F.element_at(numbers, x["start"])
         return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed"), pair.alias("pattern"),
+            x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed"),
+            F.when(n >= 2, F.concat_ws(" ", F.get(words, n - 2), F.get(words, n - 1))).otherwise("").alias("pattern"),
             F.lower(F.substring(text, x["start"] + 1, x["end"] - x["start"])).alias("instance"),
         )
 
-    return F.filter(F.transform(F.concat(seeds, others), described), lambda x: x["pattern"] != "")
+    return F.filter(_let(number, lambda k: F.transform(F.concat(seeds, others), lambda x: described(x, k))), lambda x: x["pattern"] != "")
 
 
 def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:

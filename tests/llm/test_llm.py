@@ -182,6 +182,37 @@ def test_slots_after_line_ends_and_tabs(spark):
     assert [rows[18 + k] for k in range(3)] == ["context:17:27", "context:17:27", "context:18:28"]
 
 
+def test_slots_after_any_white_space_and_long_words(spark):
+    gaps = ["\n", "\t", "\r\n", "\x0b", "  \n\t ", " " * 200]
+    heads = [("write", "to:"), ("https://example.org/" + "p" * 120, "mail:"), ("先" * 90, "至" * 70)]
+    texts = [f"x {a}{g}{b}{g}u{i}@mail.example end" for a, b in heads for g in gaps for i in range(6)]
+    unseen = [f"x {a}{g}{b}{g}member7781 end" for a, b in heads for g in gaps]
+    # A place that ends like the second long pair is not credited to that pair.
+    other = [f"x {'p' * 50} mail: member7781 end"]
+    df = spark.createDataFrame(list(enumerate(texts + unseen + other)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["s"] for r in pii.find_spans(df).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    for i, text in enumerate(texts):
+        at = text.index("u" + text.split("@")[0].rsplit("u", 1)[1] + "@")
+        assert rows[i] == f"email:{at}:{text.index(' end')}", text
+    for i, text in enumerate(unseen, len(texts)):
+        at = text.index("member7781")
+        assert rows[i] == f"context:{at}:{at + 10}", text
+    assert rows[len(texts) + len(unseen)] == ""
+
+
+def test_slots_have_the_two_words_before_them(spark):
+    rng = np.random.default_rng(9)
+    tokens = ["mail", "to", "a.b@c.de", "x7", "id=4471", "(ab123)", "Ünï", "10.0.0.1", "+1 (425) 555-9684", "4111 1111 1111 1111", "w" * 100, "9"]
+    texts = ["".join(str(t) + str(g) for t, g in zip(rng.choice(tokens, n), rng.choice([" ", "\n", "\t", "\r\n", "   "], n))) for n in rng.integers(1, 40, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.select("text", pii.base_spans(F.col("text")).alias("base"), pii._slots(F.col("text"), pii.base_spans(F.col("text"))).alias("slots")).collect()
+    for r in got:
+        words = [(m.start(), re.sub("[0-9]", "0", m.group().lower())) for m in re.finditer(r"[^ \t-\r]+", r["text"])]
+        before = {at: f"{words[i - 2][1]} {words[i - 1][1]}" for i, (at, _) in enumerate(words) if i >= 2}
+        assert all(s["pattern"] == before[s["start"]] for s in r["slots"])
+        assert [s["start"] for s in r["slots"] if s["seed"]] == [b["start"] for b in r["base"] if b["start"] in before]
+
+
 def brute_links(texts):
     sets = {}
     for d, t in texts:
