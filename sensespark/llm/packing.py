@@ -14,6 +14,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,11 +49,12 @@ class _Pieces(dict):
 
 @lru_cache(maxsize=2)
 def _tokenizer(vocabulary: str):
-    """A function from a text to its ids as little-endian 32-bit bytes.
+    """A function from a text without added tokens to its ids as little-endian 32-bit bytes.
 
     The vocabulary file ``byte_bpe_50k.json`` and the ranks of
     ``byte_bpe_50k.tiktoken`` are the same vocabulary; ids agree with those
-    that the tokenizers library gives for the first (see the tests).
+    that the tokenizers library gives for the first (see the tests), but for
+    its added tokens, which are plain text here.
     """
     import public_tokenizers
     import regex
@@ -67,6 +69,32 @@ def _tokenizer(vocabulary: str):
     return lambda text: b"".join(map(known, split(text)))
 
 
+@lru_cache(maxsize=2)
+def _document_tokenizer(vocabulary: str):
+    """As ``_tokenizer``, but added tokens of the vocabulary have their own ids.
+
+    As in the tokenizers library, they are found in the raw text from left to
+    right, the longest first, and what lies between is encoded on its own.
+    """
+    import public_tokenizers
+    import regex
+
+    ordinary = _tokenizer(vocabulary)
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{vocabulary} has added tokens that are not matched literally")
+    known = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+    split = regex.compile("(" + "|".join(map(regex.escape, sorted(known, key=len, reverse=True))) + ")").split
+
+    def encode(text: str) -> bytes:
+        if not any(token in text for token in known):
+            return ordinary(text)
+        return b"".join(known[x] if i % 2 else ordinary(x) for i, x in enumerate(split(text)))
+
+    return encode
+
+
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long"
 
 
@@ -81,7 +109,7 @@ def token_pieces(
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(vocabulary)
+        encode = _document_tokenizer(vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -152,6 +152,22 @@ def test_packing_ids_are_those_of_tokenizers(spark, docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_ids_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", e, e + e, f"  {e}\n\n{e}  x", f"it's{e}'s 12{e}34 é", f"<|endoftext {e}|>", f"<{e}", "<|ENDOFTEXT|>", "plain  text\n", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in packing.token_pieces(df, with_ids=True).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert rows[i]["ids"] == ids.tobytes(), text
+        assert (rows[i]["doc_tokens"], rows[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+    assert np.frombuffer(rows[0]["ids"], "<u4").tolist() == [64, 220, 50256, 275, 1]
+
+
 def test_personal_data(spark, docs, empty):
     rows = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs).select("doc_id", pii.written(F.col("spans")).alias("spans")).collect()}
     assert rows[10] == "email:5:13" and rows[11] == "phone:5:22,card:26:45"
