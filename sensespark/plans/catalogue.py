@@ -215,7 +215,7 @@ def _occ(spark, sf_dir):
 @query
 def kwic(spark, sf_dir):
     _, toks, occ = _occ(spark, sf_dir)
-    return context.kwic(occ.filter("head_id = 50"), toks, 3)
+    return context.kwic(occ, toks, 3)
 
 
 @query
