@@ -328,7 +328,7 @@ def huffman_codes(spark, sf_dir):
 @query
 def train_smoke(spark, sf_dir):
     toks = _tokens(spark, sf_dir)
-    words = lexicon.ranked_lexicon(toks, 20, 20).filter("word_id < 60")
+    words = lexicon.ranked_lexicon(toks, 20)
     options = training.Options(dim=16, senses=3, window=2, epochs=1)
     state, _ = training.train(toks, words, options)
     return model.expected_pi(training.sense_table(toks, state, words), options.alpha).select("word", "sense", "cnt", "pi")

@@ -98,6 +98,12 @@ def test_training_separates_planted_senses(spark):
     assert np.isfinite(state.inner).all()
 
 
+def test_training_query_has_the_whole_lexicon(spark):
+    found = catalogue.queries()["train_smoke"](spark, DATA).toPandas()
+    words = {r["word"] for r in lexicon.ranked_lexicon(catalogue._tokens(spark, DATA), 20).collect()}
+    assert set(found["word"]) == words and len(found) == 3 * len(words)
+
+
 def test_sampler_is_even(spark):
     occ = spark.range(2000).select(F.lit("w").alias("hw"), F.col("id").alias("pos"))
     picked = [r["pos"] for r in lexicon.sample_positions(occ, 1000, ["hw"]).collect()]
