@@ -7,21 +7,30 @@ at least the threshold are linked.  The join runs in levels:
 2. A set has ``BANDS`` keys, each made of ``ROWS`` minhash values.
    Representatives that share a key form a block.  A pair at the threshold
    shares none with a chance of (1 - 0.75^4)^48 = 1e-8, and of 1e-11 at 0.8.
-   Keys are counted before any block is formed, keys of one set are dropped,
-   and keys of just two sets are made into distinct pairs.
-3. A block's members bring their size and token bitmap, never their set.
-   Blocks above ``TILE`` members are cut into tiles, and pairs of tiles are
-   tasks' units, so that no unit grows with the data.
-4. A unit builds signature trees: nodes hold the OR of their sets' token
+3. Blocks whose members all have one label (their component so far) are dropped
+   after a count per key, before any bitmap moves.
+4. The members of other blocks bring their size, label and token bitmap, never
+   their set, into units of at most about ``TILE`` members a side.
+5. A unit builds signature trees: nodes hold the OR of their sets' token
    bitmaps, the range of their sizes and the most shingles on one bit.  A dual
-   traversal drops node pairs whose largest possible overlap is too small, and
-   what is left at the leaves are candidates, compared exactly on whole texts.
-5. The traversal runs twice.  In the first run a candidate that looks linked
-   connects at once, and pairs connected so are passed over: a large group of
-   near copies gives about one candidate per copy.  In the second run only
-   links that the exact comparison confirmed connect, so each pair that the
-   first one passed over wrongly is compared after all.
-6. Links become components.
+   traversal drops node pairs whose largest possible overlap is too small or
+   whose members have one label; what is left at the leaves are candidates,
+   compared exactly on whole texts.
+6. Links that are confirmed become components, which are the next run's labels.
+
+The first run sees ``FIRST`` keys of a set, the second all of them; in both a
+candidate that looks linked connects at once within its unit, so that a group
+of n near copies gives about n candidates, and not n * n.  If the exact
+comparison refutes any such candidate, pairs may have been passed over wrongly:
+then a third run sees what still shares a key across labels, and there nothing
+connects but confirmed links.
+
+No unit grows with the data.  In the first run a block above ``TILE`` is dealt
+into chunks, in each band anew, since connecting is all it is for.  Later such
+a block is divided by the other bands' keys, and what is still too large is met
+tile by tile.  Components above ``CROWD`` members bring each of them once, to
+meet the sets that share any key with the component, rather than once for each
+key.
 
 Defined cases: words are lower-cased (A-Z) and split at space and 09 to 0D; a
 text with fewer than five words is one shingle; a null or wordless text has no
@@ -40,22 +49,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import BROADCAST_ROWS, materialise, within
 
 WORDS = 5
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS = 48
 ROWS = 4
+#: Keys of a set that the first run sees.
+FIRST = 3
 TILE = 2048
+#: Components above so many members meet others as a whole.
+CROWD = 256
 LEAF = 16
+#: Texts that one task compares with a text at a time.
+TEXTS = 32
 #: Bitmaps have at least so many bits, and twice their set's size.
 LEAST_BITS = 1024
-#: Estimated similarity from which the first run takes two sets as linked.
+#: Estimated similarity from which the first two runs take two sets as linked.
 LIKELY = 0.8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -259,7 +274,7 @@ def _traverse(a: Tree, b: Tree, groups: _Groups, out: list, percent: int, trust:
             for i, j, likely in _leaf_pairs(a, b, rows, cols, percent):
                 x, y = a.at[i], b.at[j]
                 if (a is not b or i < j) and groups.find(x) != groups.find(y):
-                    out.append((x, y))
+                    out.append((x, y, trust and likely))
                     if trust and likely:
                         groups.join(x, y)
             continue
@@ -270,34 +285,44 @@ def _traverse(a: Tree, b: Tree, groups: _Groups, out: list, percent: int, trust:
                     todo.append((down_a, x, down_b, y))
 
 
-def tree_join(sizes: np.ndarray, bits: list[bytes], crowds: np.ndarray, percent: int = PERCENT, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Candidate pairs of positions among members with sizes and bitmaps.
+def _forest(at: np.ndarray, sizes: np.ndarray, bits: list[bytes], crowds: np.ndarray) -> dict[int, Tree]:
+    """A tree for each length of bitmaps, over the members ``at``, sorted by size."""
+    lengths, trees = np.array([len(bits[i]) for i in at]), {}
+    for n in np.unique(lengths).tolist():
+        own = at[lengths == n]
+        maps = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), n // 8)
+        trees[n] = Tree(maps, sizes[own], crowds[own], own)
+    return trees
+
+
+def tree_join(
+    sizes: np.ndarray, bits: list[bytes], crowds: np.ndarray, percent: int = PERCENT, labels: np.ndarray | None = None, trust: bool = True, sides: np.ndarray | None = None
+) -> list[tuple[int, int, bool]]:
+    """Candidate pairs of positions among members with sizes and bitmaps, and whether they connected.
 
-    With ``labels`` members of equal label are connected and nothing else is;
-    without, candidates that look linked connect.
+    Members of equal label are connected from the start; with ``trust``
+    candidates that look linked connect as well.  With ``sides`` (0 and 1) only
+    members of different sides meet.
 
-    There is a tree for each length of bitmaps.  Sets that link are at most a
-    factor of two apart in it, so a tree meets itself and the next longer one,
-    folded to its length.
+    Sets that link are at most a factor of two apart in the length of their
+    bitmaps, so a tree meets itself and the next longer one, folded to its
+    length.
     """
-    if len(sizes) == 2:
-        small, large = (0, 1) if len(bits[0]) <= len(bits[1]) else (1, 0)
-        if sizes[small] * 100 < percent * sizes[large] or sizes[large] * 100 < percent * sizes[small]:
-            return []
     order = np.argsort(sizes, kind="stable")
-    trees: dict[int, Tree] = {}
-    lengths = np.array([len(bits[i]) for i in order])
-    for n in np.unique(lengths).tolist():
-        at = order[lengths == n]
-        maps = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), n // 8)
-        trees[n] = Tree(maps, sizes[at], crowds[at], at)
     groups, out, first = _Groups(len(sizes)), [], {}
     for i, label in enumerate([] if labels is None else labels.tolist()):
         groups.join(i, first.setdefault(label, i))
-    for n, tree in trees.items():
-        _traverse(tree, tree, groups, out, percent, labels is None)
-        if 2 * n in trees:
-            _traverse(tree, trees[2 * n].halved(), groups, out, percent, labels is None)
+    if sides is None:
+        pairs = [(forest := _forest(order, sizes, bits, crowds), forest)]
+    else:
+        left, right = (_forest(order[sides[order] == k], sizes, bits, crowds) for k in (0, 1))
+        pairs = [(left, right), (right, left)]
+    for left, right in pairs:
+        for n, tree in left.items():
+            if n in right and (left is right or left is pairs[0][0]):
+                _traverse(tree, right[n], groups, out, percent, trust)
+            if 2 * n in right:
+                _traverse(tree, right[2 * n].halved(), groups, out, percent, trust)
     return out
 
 
@@ -324,23 +349,24 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pd.DataFrame
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _candidates(percent: int):
+def _candidates(percent: int, trust: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
+        found: dict[tuple[int, int], bool] = {}
 
         def flush() -> pa.RecordBatch:
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            pairs = np.array(list(found), np.int64).reshape(-1, 2)
+            trusted = pa.array(list(found.values()), pa.bool_())
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), trusted], ["a", "b", "trusted"])
 
         for unit in _runs(batches, 3):
-            ids = unit["rep"].to_numpy()
-            labels = unit["label"].to_numpy() if "label" in unit else None
-            if labels is not None and (labels == labels[0]).all():
+            ids, labels, sides = unit["rep"].tolist(), unit["label"].to_numpy(), unit["side"].to_numpy()
+            if (labels == labels[0]).all():
                 continue
-            for i, j in tree_join(unit["n_shingles"].to_numpy(), unit["bits"].tolist(), unit["crowd"].to_numpy().astype(np.int64), percent, labels):
-                if ids[i] != ids[j]:
-                    found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            both = sides if sides.any() else None
+            for i, j, trusted in tree_join(unit["n_shingles"].to_numpy(), unit["bits"].tolist(), unit["crowd"].to_numpy().astype(np.int64), percent, labels, trust, both):
+                pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
+                found[pair] = trusted or found.get(pair, False)
             if len(found) > 100_000:
                 yield flush()
         yield flush()
@@ -350,7 +376,7 @@ def _candidates(percent: int):
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _runs(batches, 1):
+        for unit in _runs(batches, 2):
             own = unit["b"].isna().to_numpy()
             first = [shingles(t) for t in unit["text"][own]]
             links = []
@@ -366,67 +392,149 @@ def _verify(percent: int):
     return run
 
 
-def _units(blocks: DataFrame, tile: int) -> DataFrame:
-    """(key, i, j, rep): blocks (key, rep, n) as pairs of tiles.
+def _across(keyed: DataFrame) -> DataFrame:
+    """The rows (key, rep, label, crowd) of keys that have more than one label.
 
-    A block within ``tile`` is one unit; of a larger one each pair of tiles is.
+    Partial aggregation: a key sends one row per task, however many sets have it.
     """
-    count = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "rep"), count.cast("long")).cast("int")
-    tiled = blocks.withColumn("tiles", count).withColumn("own", own)
+    labels = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return keyed.join(labels.select("key"), "key")
+
+
+def _spread(salt: int, parts: Column, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), *columns), parts.cast("long")).cast("int")
+
+
+def _tiled(blocks: DataFrame, tile: int) -> DataFrame:
+    """(key, i, j, rep): blocks (key, rep, n) as pairs of tiles of about ``tile`` members."""
+    tiled = blocks.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    tiled = tiled.withColumn("own", _spread(3, F.col("tiles"), "rep"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     return tiled.select("key", "rep", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "rep")
 
 
-def class_components(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """(id, component) of the representatives that have links.
-
-    ``classes`` has rep, n_shingles, keys, bits and crowd.  The second run's
-    links extend the stars that the first one's links have made.
+def _block_units(rows: DataFrame, owners: DataFrame, tile: int, chunks: bool) -> DataFrame:
+    """(key, i, j, rep) for members of small components, from rows (key, rep, label)."""
+    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("a"), F.max("rep").alias("b"))
+    stats = materialise(stats.filter("low < high"), "near-blocks")
+    # Two sets may share many keys; they are one unit.
+    twos = stats.filter("n = 2").select("a", "b").distinct()
+    units = twos.select(F.xxhash64("a", "b").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode(F.array("a", "b")).alias("rep"))
+    blocks = rows.join(stats.filter("n > 2").select("key", "n"), "key")
+    if chunks:
+        parts = F.ceil(F.col("n") / F.lit(tile))
+        return units.unionByName(blocks.select("key", _spread(4, parts, "key", "rep").alias("i"), F.lit(0).alias("j"), "rep"))
+    units = units.unionByName(blocks.filter(F.col("n") <= tile).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep"))
+    if stats.filter(F.col("n") > tile).isEmpty():
+        return units
+    # A pair that shares one key shares another one too, up to a chance of 2e-8 at the threshold.
+    parts = blocks.filter(F.col("n") > tile).join(owners.select("rep", "keys"), "rep").select("rep", "label", F.col("key").alias("k"), F.explode("keys").alias("other"))
+    parts = materialise(_across(parts.filter("k <> other").select(F.xxhash64("k", "other").alias("key"), "rep", "label")), "near-parts")
+    counted = parts.join(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    return units.unionByName(_tiled(counted, tile))
+
+
+def _crowd_units(rows: DataFrame, tile: int) -> DataFrame:
+    """(key, i, j, rep, side): large components against the sets that share a key with them.
+
+    ``rows`` has key, rep, label, size and crowd.  Each member of a component
+    comes once to each tile of those sets.
     """
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    # Partial aggregation: a key sends one row per task, however many sets have it.
-    counts = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    counts = materialise(counts, "near-keys")
-    rows = keyed.join(counts.filter("n > 2").select("key", "n"), "key")
-    twos = counts.filter("n = 2").select("low", "high").distinct()
-    twos = twos.select(F.xxhash64("low", "high").alias("key"), F.explode(F.array("low", "high")).alias("rep"), F.lit(2).cast("long").alias("n"))
-    units = _units(rows.select("key", "rep", "n").unionByName(twos), tile)
-    members = units.join(classes.select("rep", "n_shingles", "bits", "crowd"), "rep").select("key", "i", "j", "rep", "n_shingles", "bits", "crowd")
-    members = materialise(members, "near-members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialise(documents.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
-
-    def confirmed(rows: DataFrame) -> DataFrame:
-        units = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-        found = materialise(units.mapInArrow(_candidates(percent), "a long, b long").distinct(), "near-candidates")
-        sides = found.select("a", "b", F.col("b").alias("doc_id")).unionByName(
-            found.select("a", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct()
-        )
-        pairs = texts.join(sides, "doc_id").select("a", "b", "text")
-        return materialise(pairs.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_verify(percent), "a long, b long"), "near-links")
+    crowds = rows.filter("crowd").select("key", F.col("label").alias("big"), "size").distinct()
+    others = rows.drop("size").join(crowds, "key").filter("label <> big and (not crowd or big < label)").select("big", "size", "rep").distinct()
+    others = materialise(others, "near-others")
+    tiles = others.groupBy("big").agg(F.ceil(F.max("size") / tile).cast("int").alias("is"), F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("js"))
+    members = rows.filter("crowd").select(F.col("label").alias("big"), "rep").distinct().join(tiles, "big")
+    members = members.select("big", _spread(5, F.col("is"), "rep").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), "rep", F.lit(0).alias("side"))
+    others = others.join(tiles, "big")
+    others = others.select("big", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), _spread(6, F.col("js"), "rep").alias("j"), "rep", F.lit(1).alias("side"))
+    return members.unionByName(others).select(F.xxhash64(F.lit(7), "big").alias("key"), "i", "j", "rep", "side")
+
+
+def confirmed_links(documents: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets link, compared exactly.
+
+    A text that is in many pairs is sent to several tasks, each of which
+    compares it with about ``TEXTS`` others.
+    """
+    parts = found.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TEXTS).cast("int").alias("parts"))
+    sides = found.join(parts, "a").select("a", _spread(8, F.col("parts"), "b").alias("part"), "b", F.col("b").alias("doc_id"))
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    sides = sides.unionByName(own)
+    # At most one row of its own for each pair.
+    sides = F.broadcast(sides) if 2 * found.count() <= BROADCAST_ROWS else sides
+    pairs = documents.join(sides, "doc_id").select("a", "part", "b", "text")
+    return materialise(pairs.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_verify(percent), "a long, b long"), "near-links")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(id, component, size), written."""
+    found = connected_components(links)
+    sizes = found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("size"))
+    return materialise(found.join(sizes, F.col("component") == F.col("c")).select("id", "component", "size"), "near-components")
+
 
-    known = materialise(connected_components(confirmed(members)), "near-components")
-    labelled = members.join(known, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep"))
-    more = confirmed(labelled.drop("id", "component"))
-    if more.isEmpty():
-        return known
-    return materialise(connected_components(more.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))), "near-components")
+def _run(documents: DataFrame, owners: DataFrame, rows: DataFrame, known: DataFrame | None, percent: int, tile: int, crowd: int, trust: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """One run over rows (key, rep) or (rep, keys).
+
+    Returns the components so far, the rows across labels, and whether a
+    candidate that had connected was refuted.
+    """
+    labels = None
+    if known is None:
+        labelled = rows.withColumns({"label": F.col("rep"), "size": F.lit(1).cast("long")})
+    else:
+        labels = within(known.select(F.col("id").alias("rep"), F.col("component").alias("label"), "size"), BROADCAST_ROWS)
+        labelled = rows.join(labels, "rep", "left").withColumns({"label": F.coalesce("label", "rep"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    if "keys" in rows.columns:
+        labelled = labelled.select("rep", "label", "size", F.explode("keys").alias("key"))
+    rows = materialise(_across(labelled.select("key", "rep", "label", "size")).withColumn("crowd", F.col("size") > crowd), "near-rows")
+    units = _block_units(rows.filter("not crowd"), owners, tile, known is None).withColumn("side", F.lit(0))
+    if not rows.filter("crowd").isEmpty():
+        units = units.unionByName(_crowd_units(rows, tile))
+    # Texts that share an id are one vertex, so a unit may have an id twice.
+    units = units.join(owners.select("rep", "n_shingles", "bits", "crowd"), "rep")
+    units = units.withColumn("label", F.col("rep")) if labels is None else units.join(labels.drop("size"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    units = units.select("key", "i", "j", "rep", "label", "side", "n_shingles", "bits", "crowd")
+    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    tried = units.mapInArrow(_candidates(percent, trust), "a long, b long, trusted boolean").groupBy("a", "b").agg(F.max("trusted").alias("trusted"))
+    tried = materialise(tried, "near-candidates")
+    links = confirmed_links(documents, tried.select("a", "b"), percent)
+    refuted = trust and tried.filter("trusted").count() > tried.filter("trusted").join(links, ["a", "b"], "left_semi").count()
+    if known is not None:
+        if links.isEmpty():
+            return known, rows, refuted
+        links = links.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return _components(links), rows, refuted
+
+
+def class_components(documents: DataFrame, owners: DataFrame, percent: int = PERCENT, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
+    """(id, component, size) of the representatives that have links.
+
+    ``owners`` has rep, n_shingles, keys, bits and crowd.  Links of later runs
+    extend the stars that those of earlier ones have made.
+    """
+    first = owners.select("rep", F.slice("keys", 1, FIRST).alias("keys"))
+    known, _, _ = _run(documents, owners, first, None, percent, tile, crowd, True)
+    known, rows, refuted = _run(documents, owners, owners.select("rep", "keys"), known, percent, tile, crowd, True)
+    if refuted:
+        known, _, _ = _run(documents, owners, rows.select("key", "rep"), known, percent, tile, crowd, False)
+    return known
 
 
-def link_documents(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+def link_documents(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     documents = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(documents.mapInArrow(_sign, _SIGNS), "shingle-signs")
-    grouped = signed.filter("print is not null").groupBy("print")
-    classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")), "shingle-classes")
-    classes = classes.filter("rep is not null")
-    owners = signed.join(classes.select(F.col("print").alias("p"), "rep"), (F.col("print") == F.col("p")) & (F.col("doc_id") == F.col("rep")))
-    owners = materialise(owners.select("rep", "n_shingles", "keys", "bits", "crowd"), "shingle-owners")
-    found = class_components(documents, owners, percent, tile).withColumnRenamed("id", "linked")
-    repeated = classes.filter("n > 1").select(F.col("print").alias("p"), "rep")
-    rows = signed.select("doc_id", "n_shingles", "print").join(repeated, F.col("print") == F.col("p"), "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    grouped = signed.filter("print is not null").groupBy(F.col("print").alias("p"))
+    repeated = grouped.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = within(materialise(repeated.select("p", "rep", F.lit(True).alias("again")), "shingle-classes"), BROADCAST_ROWS)
+    # A set that no other row has is its own representative.
+    owners = signed.filter("print is not null and doc_id is not null").join(repeated, F.col("print") == F.col("p"), "left")
+    owners = owners.filter("again is null or doc_id = rep").select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "bits", "crowd")
+    found = class_components(documents, owners, percent, tile, crowd).select(F.col("id").alias("linked"), "component")
+    rows = signed.select("doc_id", "n_shingles", "print").join(repeated.select("p", "rep", "again"), F.col("print") == F.col("p"), "left")
+    rows = rows.select("doc_id", "n_shingles", F.when(F.col("again"), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     return rows.join(found, F.col("rep") == F.col("linked"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
@@ -438,4 +546,4 @@ def keep_first(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     tag = uuid.uuid4().hex[:8]
     linked = link_documents(df, percent, id_col, text_col)
     later = materialise(linked.filter("component_id < doc_id").select(F.col("doc_id").alias(f"d{tag}")).distinct(), "near-later")
-    return df.join(later, df[id_col] == F.col(f"d{tag}"), "left_anti")
+    return df.join(within(later, 4 * BROADCAST_ROWS), df[id_col] == F.col(f"d{tag}"), "left_anti")

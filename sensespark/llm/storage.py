@@ -8,8 +8,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: Rows of a few numbers each that may be broadcast: some ten MB.
+BROADCAST_ROWS = 1 << 18
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +54,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def within(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows, which are counted; as it is else."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def open_filesystem(path: str):
     """(filesystem, path in it) of a URI or local path, for use on executors."""
     from pyarrow import fs
