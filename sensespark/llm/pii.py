@@ -1,23 +1,27 @@
 """Personal data: pattern spans, and contextual extraction bootstrapped from them.
 
-Base spans (email, ip, card, phone) are matches of fixed patterns.  They are
-the seeds of a bootstrap: the two words before a slot are a lexical pattern,
-and the identifier-like words (with a digit or an @) that fill its slots are its
-instances.  On the graph of patterns and instances, scores go back and forth: a
-pattern's is the share of all its occurrences, ordinary words included, that
-well-scored instances fill; an instance's, unless it is a seed, is that at least
-one of its patterns is right.  Patterns with enough distinct seeds or found
-instances and a high score mark further spans, of kind ``context``.
-
-Main path: DataFrame expressions only.  Whole texts are read twice: for spans
-and slots, and to count the occurrences of the patterns in question.  What is
-shuffled is one narrow row per slot.
+Base spans (email, ip, card, phone) are matches of fixed patterns.  They seed a
+bootstrap with certainty; words that look like credentials (16 or more letters
+and digits mixed) seed it with the weight ``CREDENTIAL``.  What stands before a
+slot is a lexical pattern: the key in ``key=`` or ``key:`` if the slot's word
+begins with one, else the two words before, with the punctuation that the
+slot's word begins with.  The identifier-like words (with a digit or an @) that
+fill its slots are its instances.  On the graph of patterns and instances,
+scores go back and forth: a pattern's is the share of all its occurrences,
+ordinary words included, that its instances fill, weighted by their scores; an
+instance's is that its own weight or one of its patterns is right.  Patterns
+with enough distinct trusted instances and a high score mark further spans, of
+kind ``context``.
+
+Main path: DataFrame expressions only.  Whole texts are read for spans and
+slots, and then to count the occurrences of those patterns that have enough
+trusted instances.  What is shuffled is one narrow row per slot.
 
 Defined cases: a null text is empty; a match of a base pattern that fails its
 check is dropped and not retried; rows that repeat count each and give equal
-spans; rows that share an id keep their own spans; an empty table gives an
-empty result; other columns are ignored by ``find_spans`` and kept by
-``redact``.
+spans; spans hang on a row's text alone, so rows that share an id or have none
+keep their own; an empty table gives an empty result; other columns are ignored
+by ``find_spans`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import BROADCAST_ROWS, materialise, within
 
 KINDS = ("email", "ip", "card", "phone", "context")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +53,15 @@ MIN_SCORE = 0.8
 MIN_SUPPORT = 5
 ROUNDS = 4
 BUCKETS = 1 << 16
+#: Patterns below this score have no say about their instances.
+MIN_SAY = 0.5
+#: What a word that looks like a credential weighs as a seed.
+CREDENTIAL = 0.6
+_CREDENTIAL = r"^(?=.*[0-9])(?=.*[a-zA-Z])[A-Za-z0-9+/_-]{16,}$"
+#: What a word may have before an identifier: a key, or punctuation.
+_LEAD = r"^(?:[\p{L}_][\p{L}_-]*+[=:][\"']?(?=[\p{L}0-9+@])|[^\p{L}0-9+@]*+)"
+#: Texts in the first count, which only refutes: one of so many.
+SHARE = 16
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -122,12 +135,15 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[0-9]", "0")
 
 
+def _key_led(lead: Column) -> Column:
+    return lead.rlike(r"^[\p{L}_]")
+
+
 def _slots(text: Column, spans: Column) -> Column:
-    """Seeds and identifier-like words, each with the two words before it.
+    """Seeds and identifier-like words, each with what stands before it.
 
-    Only what begins with its word is a slot.  A seed that does so begins with
-    a word that has a digit or an @, so that word's number is the seed's.  The
-    two words come from the words that ``_occurrences`` counts pairs of.
+    Only what begins its word, a key or punctuation apart, is a slot.  The two
+    words come from the words that ``_occurrences`` counts.
     """
     marked = positions(text, r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+", numbered=True)
     words = F.regexp_extract_all(_normal(text), F.lit(WORD), F.lit(0))
@@ -135,40 +151,71 @@ def _slots(text: Column, spans: Column) -> Column:
 
 
 def _slots_among(text: Column, spans: Column, marked: Column, words: Column) -> Column:
+    led = F.transform(marked, lambda w: F.struct(w.alias("w"), F.regexp_extract(w["match"], _LEAD, 0).alias("lead")))
     trimmed = F.transform(
-        marked,
-        lambda w: F.struct(
-            (w["start"] + F.length(F.regexp_extract(w["match"], r"^[^\p{L}0-9+@]*", 0))).alias("start"),
-            (w["end"] - F.length(F.regexp_extract(w["match"], r"[^\p{L}0-9]*$", 0))).alias("end"),
+        led,
+        lambda x: F.struct(
+            (x["w"]["start"] + F.length(x["lead"])).alias("start"),
+            (x["w"]["end"] - F.length(F.regexp_extract(x["w"]["match"], r"[^\p{L}0-9]*$", 0))).alias("end"),
+            x["w"]["number"].alias("number"),
+            _normal(x["lead"]).alias("lead"),
         ),
     )
-    apart = F.filter(
-        trimmed, lambda w: (w["end"] - w["start"] >= 4) & ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    )
-    seeds = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("seed")))
-    others = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(False).alias("seed")))
-    # The number of the word that begins at a slot; null where none does.
-    number = F.map_from_arrays(F.transform(marked, lambda w: w["start"]), F.transform(marked, lambda w: w["number"]))
 
-    def described(x: Column, numbers: Column) -> Column:
-        n = F.element_at(numbers, x["start"])
-        return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed"),
-            F.when(n >= 2, F.concat_ws(" ", F.get(words, n - 2), F.get(words, n - 1))).otherwise("").alias("pattern"),
-            F.lower(F.substring(text, x["start"] + 1, x["end"] - x["start"])).alias("instance"),
-        )
+    def found(slots: Column) -> Column:
+        apart = F.filter(
+            slots, lambda w: (w["end"] - w["start"] >= 4) & ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+        )
+        seeds = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("seed")))
+        others = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(False).alias("seed")))
+        # The word in which a slot begins; null where none does.
+        place = F.map_from_arrays(F.transform(slots, lambda w: w["start"]), F.transform(slots, lambda w: F.struct(w["number"], w["lead"])))
+
+        def described(x: Column, places: Column) -> Column:
+            n, lead = F.element_at(places, x["start"])["number"], F.element_at(places, x["start"])["lead"]
+            before = F.concat_ws(" ", F.get(words, n - 2), F.get(words, n - 1), F.when(lead != "", lead))
+            return F.struct(
+                x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed"),
+                F.when(_key_led(lead), lead).when(n >= 2, before).otherwise("").alias("pattern"),
+                F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("instance"),
+            )
 
-    return F.filter(_let(number, lambda k: F.transform(F.concat(seeds, others), lambda x: described(x, k))), lambda x: x["pattern"] != "")
+        def weighed(x: Column) -> Column:
+            prior = F.when(x["seed"], 1.0).when(x["instance"].rlike(_CREDENTIAL), CREDENTIAL).otherwise(0.0)
+            return F.struct(x["start"], x["end"], x["seed"], x["pattern"], F.lower(x["instance"]).alias("instance"), prior.alias("prior"))
 
+        every = _let(place, lambda k: F.transform(F.concat(seeds, others), lambda x: described(x, k)))
+        return F.transform(F.filter(every, lambda x: x["pattern"] != ""), weighed)
 
-def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often the two words stand before a third one.
+    return _let(trimmed, found)
 
-    All pairs of words are hashed to ``BUCKETS`` buckets; only those in a
-    bucket with a wanted pattern leave their text.  They are counted before the
-    join that drops what shares a bucket by chance.  The driver gets the list
-    of wanted buckets, at most ``BUCKETS`` small numbers, and sends one byte
-    for each bucket with the plan.
+
+def _patterns_of(words: Column) -> Column:
+    """What stands before each word of a text, ordinary words included.
+
+    Two words count before any third; with punctuation, before a word that
+    begins with it; a key counts wherever it begins a word.
+    """
+
+    def before(word: Column, i: Column) -> Column:
+        pair = F.when(i >= 2, F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1)))
+        return _let(
+            F.regexp_extract(word, _LEAD, 0),
+            lambda lead: F.when(lead == "", F.array(pair)).when(_key_led(lead), F.array(pair, lead)).otherwise(F.array(pair, F.concat_ws(" ", pair, lead))),
+        )
+
+    return F.filter(F.flatten(F.transform(words, before)), lambda x: x.isNotNull())
+
+
+def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often each of the patterns stands before a word.
+
+    What stands before words is hashed to ``BUCKETS`` buckets; only what is in
+    a bucket with a wanted pattern leaves its text.  It is counted, and the
+    counts written, before the join that drops what shares a bucket by chance:
+    a join in the same plan would be pushed below the count.  The driver gets
+    the list of wanted buckets, at most ``BUCKETS`` small numbers, and sends
+    one byte for each bucket with the plan.
     """
     bucket = lambda p: F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int")
     marks = bytearray(BUCKETS)
@@ -176,51 +223,74 @@ def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         marks[row["bucket"]] = 1
     wanted = lambda p: F.substring(F.lit(marks), bucket(p) + 1, F.lit(1)) == F.lit(bytearray([1]))
     words = F.regexp_extract_all(_normal(F.col("text")), F.lit(WORD), F.lit(0))
-    pairs = _let(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
-    every = texts.select(F.explode(F.filter(pairs, wanted)).alias("pattern"))
-    counts = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    every = texts.select(F.explode(F.filter(_let(words, _patterns_of), wanted)).alias("pattern"))
+    counts = materialise(every.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")), "pii-counts")
     return counts.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
+def _totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total) of those patterns (pattern, most) that may score ``MIN_SAY`` or more.
+
+    ``most`` bounds what the pattern's instances can weigh.  Occurrences in
+    some texts are no more than those in all, so what one of ``SHARE`` parts of
+    the texts refutes is refuted; all others are counted in all texts.
+    """
+    part = F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(SHARE)) == 0
+    some = _occurrences(texts.filter(part), patterns).withColumnRenamed("pattern", "p")
+    left = patterns.join(some, F.col("pattern") == F.col("p"), "left").filter(F.coalesce("total", F.lit(0)) * MIN_SAY <= F.col("most"))
+    left = materialise(left.select("pattern"), "pii-patterns")
+    return materialise(_occurrences(texts, left), "pii-totals")
+
+
 def pattern_scores(slots: DataFrame, texts: DataFrame, min_support: int = MIN_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, score, support) after ``rounds`` on the graph.
 
-    ``slots`` has pattern, instance and seed.  Edges are counts, so a frequent
-    pattern or instance is one row per partner before any shuffle.
+    ``slots`` has pattern, instance and prior.  Edges are counts, so a frequent
+    pattern or instance is one row per partner before any shuffle.  Patterns
+    without enough trusted instances have no say, so totals are counted for
+    the others only, when they first appear.
     """
-    edges = materialise(slots.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pii-edges")
-    enough = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).filter(F.col("instances") >= min_support)
-    patterns = materialise(enough.select("pattern"), "pii-patterns")
-    totals = materialise(_occurrences(texts, patterns), "pii-totals")
-    edges = materialise(edges.join(totals, "pattern"), "pii-edges")
-    seeds = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("known"))
-    scores = seeds.withColumn("value", F.col("known"))
+    edges = slots.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("prior").alias("prior"))
+    edges = materialise(edges, "pii-edges")
+    known = edges.groupBy("instance").agg(F.max("prior").alias("known"))
+    scores, totals, patterns = known.withColumn("value", F.col("known")), None, None
     for turn in range(rounds):
-        weighed = edges.join(scores.select("instance", "value"), "instance")
-        patterns = weighed.groupBy("pattern").agg(
-            F.least(F.sum(F.col("n") * F.col("value")) / F.max("total"), F.lit(1.0)).alias("score"),
-            F.sum((F.col("value") >= 0.5).cast("long")).alias("support"),
+        weighed = edges.join(scores.select("instance", "value"), "instance").groupBy("pattern").agg(
+            F.sum(F.col("n") * F.col("value")).alias("filled"), F.sum((F.col("value") >= 0.5).cast("long")).alias("support"), F.sum("n").alias("most")
         )
-        patterns = materialise(patterns, "pii-patterns")
+        weighed = materialise(weighed.filter(F.col("support") >= min_support), "pii-weighed")
+        fresh = weighed if patterns is None else weighed.join(patterns, "pattern", "left_anti")
+        if not fresh.isEmpty():
+            more = _totals(texts, fresh.select("pattern", "most"))
+            totals = more if totals is None else totals.unionByName(more)
+        if totals is None:
+            break
+        patterns = weighed.select("pattern")
+        scored = weighed.join(totals, "pattern").select("pattern", F.least(F.col("filled") / F.col("total"), F.lit(1.0)).alias("score"), "support")
+        scored = materialise(scored.filter(F.col("score") >= MIN_SAY), "pii-scores")
         if turn + 1 < rounds:
-            trusted = patterns.filter(F.col("support") >= min_support).select("pattern", F.least("score", F.lit(0.999)).alias("score"))
-            doubt = edges.select("pattern", "instance").join(trusted, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.col("score"))).alias("doubt"))
-            scores = seeds.join(doubt, "instance", "left").select(
-                "instance", "known", F.greatest("known", 1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("value")
+            told = scored.select("pattern", F.least("score", F.lit(0.999)).alias("score"))
+            doubt = edges.select("pattern", "instance").join(told, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.col("score"))).alias("doubt"))
+            scores = known.join(doubt, "instance", "left").select(
+                "instance", "known", (1 - (1 - F.col("known")) * F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("value")
             )
             scores = materialise(scores, "pii-instances")
-    return patterns
+    if totals is None:
+        return weighed.select("pattern", F.lit(0.0).alias("score"), "support").limit(0)
+    return scored
+
+
+_SLOTS = "array<struct<start:int,end:int,seed:boolean,pattern:string,instance:string,prior:double>>"
 
 
 def find_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(doc_id, base, spans): base spans and all spans of every row."""
+    """(doc_id, base, spans, text_md5): base spans and all spans of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    empty = F.array().cast("array<struct<start:int,end:int,seed:boolean,pattern:string,instance:string>>")
-    slots = F.when(F.col("text").rlike("[0-9@]"), _let(F.col("base"), lambda s: _slots(F.col("text"), s))).otherwise(empty)
-    read = texts.withColumn("base", base_spans(F.col("text"))).select("doc_id", "base", slots.alias("slots"))
+    slots = F.when(F.col("text").rlike("[0-9@]"), _let(F.col("base"), lambda s: _slots(F.col("text"), s))).otherwise(F.array().cast(_SLOTS))
+    read = texts.withColumn("base", base_spans(F.col("text"))).select("doc_id", "base", slots.alias("slots"), F.md5("text").alias("text_md5"))
     found = materialise(read, "pii-slots")
-    each = found.select(F.explode("slots").alias("s")).select("s.pattern", "s.instance", "s.seed")
+    each = found.select(F.explode("slots").alias("s")).select("s.pattern", "s.instance", "s.prior")
     scored = pattern_scores(each, texts.select("text"), min_support)
     good = materialise(scored.filter((F.col("score") >= min_score) & (F.col("support") >= min_support)).select("pattern"), "pii-good")
     # Rows without a slot of a good pattern, nearly all, only pass through.
@@ -230,7 +300,8 @@ def find_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", mi
         F.collect_list(F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end")).cast(_SPANS).alias("more")
     )
     joined = numbered.drop("slots").join(hits, "row", "left")
-    return joined.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more"))).alias("spans"))
+    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more")))
+    return joined.select("doc_id", "base", spans.alias("spans"), "text_md5")
 
 
 def written(spans: Column) -> Column:
@@ -265,15 +336,15 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with the spans in its texts masked, its columns as they were.
 
-    Base spans are found beside the text; only documents with spans from
-    context are joined, by id.
+    Base spans are found beside the text; spans from context, which few rows
+    have, are joined by the text's checksum.
     """
     tag = uuid.uuid4().hex[:8]
     extra = find_spans(df, text_col, id_col, **options).filter(F.size("spans") > F.size("base"))
-    extra = extra.filter("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias(f"m{tag}"))
-    extra = materialise(extra.withColumnRenamed("doc_id", f"d{tag}"), "pii-extra")
+    extra = extra.groupBy(F.col("text_md5").alias(f"d{tag}")).agg(F.first("spans").alias(f"m{tag}"))
+    extra = materialise(extra, "pii-extra")
     more = F.filter(F.coalesce(F.col(f"m{tag}"), F.array().cast(_SPANS)), lambda s: s["kind"] == KINDS.index("context"))
-    joined = df if extra.isEmpty() else df.join(extra, df[id_col] == F.col(f"d{tag}"), "left")
+    joined = df if extra.isEmpty() else df.join(within(extra, BROADCAST_ROWS // 4), F.md5(df[text_col]) == F.col(f"d{tag}"), "left")
     spans = base_spans(F.col(text_col))
     spans = spans if joined is df else F.sort_array(F.concat(spans, more))
     new = F.when(F.col(text_col).rlike("[0-9@]"), _let(spans, lambda s: masked(F.col(text_col), s))).otherwise(F.col(text_col))

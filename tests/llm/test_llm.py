@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensespark.llm import components, html, jaccard, media, mixing, packing, pii, quality, sharding, toxicity, warc
+from sensespark.llm import components, html, jaccard, media, mixing, packing, pii, quality, queries, sharding, toxicity, warc
 from sensespark.llm.storage import work_dir
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, rep long, slot int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -216,19 +217,101 @@ def test_slots_after_any_white_space_and_long_words(spark):
     assert rows[len(texts) + len(unseen)] == ""
 
 
-def test_slots_have_the_two_words_before_them(spark):
+LEAD = r"(?:[^\W\d_]|_)(?:[^\W\d_]|[_-])*[=:][\"']?(?=[^\W\d_]|[0-9+@])|(?:(?![^\W\d_]|[0-9+@]).)*"
+
+
+def before_words(text):
+    """Start of what a word holds behind its key or punctuation: what stands before it."""
+    words = [(m.start(), m.group(), re.sub("[0-9]", "0", m.group().lower())) for m in re.finditer(r"[^ \t-\r]+", text)]
+    out = {}
+    for i, (at, raw, _) in enumerate(words):
+        lead = re.match(LEAD, raw).group()
+        pair = " ".join(w[2] for w in words[max(0, i - 2) : i])
+        if lead and (lead[0].isalpha() or lead[0] == "_"):
+            out[at + len(lead)] = lead.lower()
+        elif i >= 2:
+            out[at + len(lead)] = pair + " " * bool(lead) + lead
+    return out
+
+
+def test_slots_have_what_stands_before_them(spark):
     rng = np.random.default_rng(9)
-    tokens = ["mail", "to", "a.b@c.de", "x7", "id=4471", "(ab123)", "Ünï", "10.0.0.1", "+1 (425) 555-9684", "4111 1111 1111 1111", "w" * 100, "9"]
+    tokens = ["mail", "to", "a.b@c.de", "x7", "id=4471", 'key="ab12cd34"', "(ab123)", "Ünï", "10.0.0.1", "+1 (425) 555-9684", "4111 1111 1111 1111", "w" * 100, "9"]
     texts = ["".join(str(t) + str(g) for t, g in zip(rng.choice(tokens, n), rng.choice([" ", "\n", "\t", "\r\n", "   "], n))) for n in rng.integers(1, 40, 60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = df.select("text", pii.base_spans(F.col("text")).alias("base"), pii._slots(F.col("text"), pii.base_spans(F.col("text"))).alias("slots")).collect()
     for r in got:
-        words = [(m.start(), re.sub("[0-9]", "0", m.group().lower())) for m in re.finditer(r"[^ \t-\r]+", r["text"])]
-        before = {at: f"{words[i - 2][1]} {words[i - 1][1]}" for i, (at, _) in enumerate(words) if i >= 2}
+        before = before_words(r["text"])
         assert all(s["pattern"] == before[s["start"]] for s in r["slots"])
         assert [s["start"] for s in r["slots"] if s["seed"]] == [b["start"] for b in r["base"] if b["start"] in before]
 
 
+def test_totals_are_all_occurrences(spark):
+    rng = np.random.default_rng(3)
+    tokens = ["mail", "to", 'x="', '"q1', "id=4471", "id=word", "(to", "ß"]
+    texts = [" ".join(rng.choice(tokens, n).tolist()) for n in rng.integers(0, 30, 50)] + [None, ""]
+    want = {}
+    for t in texts:
+        words = re.sub("[0-9]", "0", (t or "").lower()).split()
+        for i, w in enumerate(words):
+            lead, pair = re.match(LEAD, w).group(), [" ".join(words[i - 2 : i])] * (i >= 2)
+            for p in pair + ([lead] if lead[:1].isalpha() else [f"{x} {lead}" for x in pair if lead]):
+                want[p] = want.get(p, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.coalesce("text", F.lit("")).alias("text"))
+    wanted = spark.createDataFrame([(p, 10**6) for p in [*want, "no such"]], "pattern string, most long")
+    assert {r["pattern"]: r["total"] for r in pii._totals(df, wanted).collect()} == want
+    few = spark.createDataFrame([(p, 0) for p in want], "pattern string, most long")
+    left = {r["pattern"]: r["total"] for r in pii._totals(df, few).collect()}
+    assert all(want[p] == n for p, n in left.items()) and len(left) < len(want)
+
+
+def test_counts_are_not_joined_before_they_are_made(spark):
+    df = spark.createDataFrame([("a b c",)] * 5, "text string")
+    plan = pii._occurrences(df, spark.createDataFrame([("a b",)], "pattern string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Generate" not in plan
+
+
+def test_credentials_behind_keys(spark):
+    rng = np.random.default_rng(8)
+    secret = lambda n: "".join(rng.choice(list("0123456789abcdef"), n)) + "a1"
+    texts = [f'some words token = "{secret(38)}" and more' for _ in range(8)] + [f"set password={secret(18)} now" for _ in range(8)]
+    texts += ['some words token = "short77" and more', "set password=hunter22 now", "other words 1234567 and more", f"a lone {secret(20)} here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["s"] for r in pii.find_spans(df).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert [rows[i] for i in (0, 8, 16, 17, 18, 19)] == ["context:20:60", "context:13:33", "context:20:27", "context:13:21", "", ""]
+
+
+def test_rows_that_share_an_id_keep_their_own_spans(spark):
+    texts = [f"please write to: u{i}@mail.example for more" for i in range(8)]
+    rows = [(i, t, i) for i, t in enumerate(texts)] + [(99, "please write to: member7781 for more", 1), (99, "ABCDEFGHIJKLMNOPQRSTUVWXYZ 7 abc", 2), (None, "please write to: member7781 for more", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = {r["row"]: r["text"] for r in pii.redact(df).filter("doc_id = 99 or doc_id is null").collect()}
+    assert got == {1: "please write to: [CONTEXT] for more", 2: "ABCDEFGHIJKLMNOPQRSTUVWXYZ 7 abc", 3: "please write to: [CONTEXT] for more"}
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "card":
+        total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return {"ip": lambda: all(int(p) <= 255 for p in match.split(".")), "phone": lambda: 10 <= len(digits) <= 15, "email": lambda: True}[kind]()
+
+
+def test_personal_data_query_agrees_with_brute_force(spark):
+    docs = spark.read.parquet(DATA + "/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.op6_contextual_pii(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        found = sorted((m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(BASE.items()) for m in re.finditer(p, d["text"] or "") if valid(kind, m[0]))
+        r, base = got[d["doc_id"]], [f"{kind}:{a}:{b}" for a, _, kind, b in found]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r[f"n_{kind}"] for kind in BASE] == [sum(x.startswith(kind) for x in base) for kind in BASE]
+        assert set(base) <= set(r["spans"].split(",") if r["spans"] else [])
+
+
 def brute_links(texts):
     sets = {}
     for d, t in texts:
