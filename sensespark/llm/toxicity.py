@@ -1,13 +1,16 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes.
 
-Features are hashed character n-grams, present or absent.  Each is scaled by
-the log ratio of its smoothed frequencies in toxic and other training texts,
+Features are hashed n-grams of code points, present or absent.  Each is scaled
+by the log ratio of its smoothed frequencies in toxic and other training texts,
 and a logistic regression with L2 penalty is fitted on the scaled features.
 
 The fit uses a bounded sample of the labelled rows: the ``max_per_class`` rows
-of each class with the smallest hash of their id.  That bound makes the sample
-small enough to broadcast and the fit small enough for one task.  Scoring reads
-every whole text in batches.
+of each class with the smallest hash of their id, few enough to broadcast.
+Class counts per bucket come from aggregation; the ``FEATURES`` buckets whose
+presence tells the classes apart best take part in the fit.  The one task that
+fits gets their numbers, never a text: at most ``FEATURES`` numbers for each of
+2 * ``max_per_class`` rows, however long the texts are.  Scoring reads every
+whole text in batches.
 
 Defined cases: a null or empty text has no n-grams and scores by the intercept
 alone; labels of null count as none; rows that repeat score alike; if the
@@ -30,8 +33,8 @@ from .storage import materialise
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 MAX_PER_CLASS = 4000
-#: n-grams that take part in the fit.
-FEATURES = 2048
+#: Buckets that take part in the fit.
+FEATURES = 4096
 
 
 def held_out(key: Column) -> Column:
@@ -40,15 +43,15 @@ def held_out(key: Column) -> Column:
 
 
 def gram_ids(text: str | None, sizes: tuple = SIZES, buckets: int = BUCKETS) -> np.ndarray:
-    """The buckets of the n-grams of the lower-cased text, each once.
+    """The buckets of the n-grams of the lower-cased text.
 
-    n-grams are of UTF-8 bytes, and white space of any length is one space, as
+    n-grams are of code points, and white space of any length is one space, as
     it is before and after the text.
     """
-    raw = b" ".join((text or "").lower().encode().split())
-    if not raw:
+    plain = " ".join((text or "").lower().split())
+    if not plain:
         return np.zeros(0, np.int64)
-    data = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
+    data = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     found, rolling = [], data * np.uint32(0x9E3779B1)
     for n in range(2, max(sizes) + 1):
         if len(data) < n:
@@ -66,40 +69,35 @@ def _once(ids: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return ids[seen[ids] == order]
 
 
-def fit(texts: list[str], labels: np.ndarray, sizes: tuple = SIZES, buckets: int = BUCKETS, features: int = FEATURES, penalty: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, intercept) of the scaled logistic regression.
+def chosen_features(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that tell the classes apart best, by the likelihood-ratio statistic, and their log-count ratios."""
+    kept = np.sort(np.argsort(-_evidence(toxic, other, n1, n0), kind="stable")[:features])
+    ratio = np.log((toxic + 1) / (n1 + 2)) - np.log((other + 1) / (n0 + 2))
+    return kept, ratio[kept]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """(weight of each feature, intercept) of the logistic regression.
 
-    Of the buckets the ``features`` whose presence tells the classes apart
-    best, by the likelihood-ratio statistic, take part; the others weigh 0.
+    A row lists the features that a text has, and each has the value ``scale``.
     """
     labels = np.asarray(labels, np.float64)
-    if len(labels) == 0 or labels.min() == labels.max():
-        share = (labels.sum() + 1) / (len(labels) + 2)
-        return np.zeros(buckets), float(np.log(share / (1 - share)))
-    seen, toxic, other = np.zeros(buckets, np.int32), np.zeros(buckets), np.zeros(buckets)
-    rows = [_once(gram_ids(t, sizes, buckets), seen).astype(np.int32) for t in texts]
-    for ids, label in zip(rows, labels, strict=True):
-        (toxic if label else other)[ids] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    ratio = np.log((toxic + 1) / (n1 + 2)) - np.log((other + 1) / (n0 + 2))
-    kept = np.sort(np.argsort(-_evidence(toxic, other, n1, n0), kind="stable")[:features])
-    place = np.full(buckets, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    rows = [x[x >= 0] for x in (place[ids] for ids in rows)]
+    if not n1 or not n0:
+        share = (labels.sum() + 1) / (len(labels) + 2)
+        return np.zeros(len(scale)), float(np.log(share / (1 - share)))
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scale, weight, bias = ratio[kept], np.zeros(len(kept)), 0.0
+    weight, bias = np.zeros(len(scale)), 0.0
     value, sample = scale[flat], np.where(labels > 0, 0.5 / n1, 0.5 / n0)
-    moment, second = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    moment, second = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for step in range(1, rounds + 1):
         z = np.bincount(owner, value * weight[flat], len(rows)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * sample
-        slope = np.append(np.bincount(flat, value * error[owner], len(kept)) + penalty * weight, error.sum())
+        slope = np.append(np.bincount(flat, value * error[owner], len(scale)) + penalty * weight, error.sum())
         moment, second = 0.9 * moment + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         change = 0.02 * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weight, bias = weight - change[:-1], bias - change[-1]
-    out = np.zeros(buckets)
-    out[kept] = weight * scale
-    return out, float(bias)
+    return weight * scale, float(bias)
 
 
 def _evidence(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -117,11 +115,10 @@ def score(text: str | None, model: tuple, seen: np.ndarray, sizes: tuple = SIZES
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text"):
-    """Fit on the labelled rows that aren't held out; see ``fit``.
+def train(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", features: int = FEATURES):
+    """(weight of each bucket, intercept) from labelled rows that aren't held out.
 
-    At most 2 * ``max_per_class`` ids are taken, so they may be broadcast, and
-    one task fits on their whole texts.
+    At most 2 * ``max_per_class`` ids are taken, so they may be broadcast.
     """
     usable = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id"))
@@ -131,19 +128,44 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_
     sample = sample.unionByName(hashed.filter("label = 1").orderBy("draw", "label_id").limit(max_per_class))
     sample = materialise(sample.select("label_id", "label"), "toxicity-sample")
     texts = documents.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id")
+    texts = materialise(texts.select("label_id", "label", "text"), "toxicity-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sums = np.zeros(BUCKETS, np.int32), np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums[label][_once(gram_ids(text), seen)] += 1
+        at = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[1][at]), pa.array(sums[0][at])], ["bucket", "toxic", "other"])
+
+    sums = texts.mapInArrow(count, "bucket int, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # At most one row per bucket.
+    counted = sums.toPandas()
+    toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    toxic[counted["bucket"]], other[counted["bucket"]] = counted["toxic"], counted["other"]
+    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kept, scale = chosen_features(toxic, other, sizes.get(1, 0), sizes.get(0, 0), features)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    shared = documents.sparkSession.sparkContext.broadcast(place)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, places = np.zeros(BUCKETS, np.int32), shared.value
+        for batch in batches:
+            found = [places[_once(gram_ids(t), seen)] for t in batch.column(2).to_pylist()]
+            found = pa.array([np.sort(x[x >= 0]) for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["label_id", "label", "features"])
+
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["label_id", "label"], kind="stable")
-        weight, bias = fit(rows["text"].tolist(), rows["label"].to_numpy())
-        at = np.append(np.flatnonzero(weight), -1)
-        return pd.DataFrame({"bucket": at.astype(np.int32), "weight": np.append(weight[at[:-1]], bias)})
-
-    fitted = texts.select("label_id", "label", "text").groupBy().applyInPandas(learn, "bucket int, weight double").toPandas()
-    weight, bias = np.zeros(BUCKETS), 0.0
-    if len(fitted):
-        bias = float(fitted.loc[fitted["bucket"] == -1, "weight"].iloc[0])
-        inner = fitted[fitted["bucket"] >= 0]
-        weight[inner["bucket"].to_numpy()] = inner["weight"].to_numpy()
-    return weight, bias
+        rows = rows.assign(key=rows["features"].map(lambda x: x.tobytes())).sort_values(["label_id", "label", "key"], kind="stable")
+        weight, bias = fit([np.asarray(x, np.int64) for x in rows["features"]], rows["label"].to_numpy(), scale)
+        return pd.DataFrame({"place": np.arange(-1, len(weight), dtype=np.int32), "weight": np.append(bias, weight)})
+
+    reduced = texts.mapInArrow(reduce, "label_id long, label int, features array<int>")
+    fitted = reduced.groupBy().applyInPandas(learn, "place int, weight double").toPandas().sort_values("place")
+    weight = np.zeros(BUCKETS)
+    weight[kept] = fitted["weight"].to_numpy()[1:] if len(fitted) else 0.0
+    return weight, float(fitted["weight"].iloc[0]) if len(fitted) else 0.0
 
 
 _SCORED = "doc_id long, held_out boolean, score double, predicted int"
