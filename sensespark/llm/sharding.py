@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import fresh_path, materialise
 
 SLOTS = 4096
 
@@ -53,18 +53,23 @@ def _dealt(slots: Column, loads: Column) -> Column:
     return F.aggregate(slots, start, step, lambda s: s["shards"])
 
 
-def new_map(sizes: DataFrame, shards: int, version: int = 0) -> DataFrame:
-    """(version, virtual_slot, shard, bytes, records): near-equal bytes.
+def first_map(sizes: DataFrame, shards: int) -> DataFrame:
+    """(version, virtual_slot, shard, bytes, records): version 0, slots dealt in turn."""
+    return sizes.select(F.lit(0).alias("version"), "virtual_slot", F.pmod("virtual_slot", F.lit(shards)).alias("shard"), "bytes", "records")
+
+
+def balance_map(slot_map: DataFrame, shards: int) -> DataFrame:
+    """The next version of a map, with near-equal bytes.
 
     Slots go by descending bytes to the emptiest shard.  The fold is one
     expression over the fixed number of slots.
     """
     order = F.sort_array(F.collect_list(F.struct("bytes", "virtual_slot", "records")), asc=False)
     loads = F.array_repeat(F.lit(0).cast("long"), shards)
-    dealt = sizes.agg(order.alias("slots")).withColumn("shards", _dealt(F.col("slots"), loads))
-    pair = dealt.select(F.explode(F.arrays_zip("slots", "shards")).alias("x"))
+    dealt = slot_map.agg(F.max("version").alias("version"), order.alias("slots")).withColumn("shards", _dealt(F.col("slots"), loads))
+    pair = dealt.select((F.col("version") + 1).alias("version"), F.explode(F.arrays_zip("slots", "shards")).alias("x"))
     return pair.select(
-        F.lit(version).alias("version"),
+        "version",
         F.col("x.slots.virtual_slot").alias("virtual_slot"),
         F.col("x.shards").alias("shard"),
         F.col("x.slots.bytes").alias("bytes"),
@@ -99,7 +104,7 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     table = spark.read.parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
-    return table.filter(F.col("version") == version)
+    return table.filter(F.col("version") == version).select("version", "virtual_slot", "shard", "bytes", "records")
 
 
 def records_of(df: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -117,12 +122,18 @@ def records_of(df: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_c
 def assign_shards(df: DataFrame, shards: int = 40, slots: int = SLOTS, **cols) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, shard, slot) of every record.
 
+    The first version of the slot map deals slots in turn; it is stored, edited
+    to equal bytes and stored again, and the latest version is what is used.
+
     ``slot`` is the record's place in its shard, gapless from 0: the records
     of the shard's earlier virtual slots, plus its rank in its own one.  So
     the rank needs a window over one virtual slot, not over a whole shard.
     """
     records = materialise(records_of(df, slots, **cols), "shard-records")
-    slot_map = materialise(new_map(slot_bytes(records, slots), shards), "slot-map")
+    path = fresh_path(df.sparkSession, "slot-map")
+    save_map(first_map(slot_bytes(records, slots), shards), path)
+    save_map(balance_map(load_map(df.sparkSession, path), shards), path)
+    slot_map = load_map(df.sparkSession, path)
     earlier = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("first")
     places = slot_map.select("virtual_slot", "shard", first)

@@ -3,7 +3,7 @@
 Writers put many records into one gzip stream per file, the layout that can't
 be read at an offset.  The normaliser inflates such a stream once, from start
 to end, rewrites each record as a gzip member of its own, and writes a sidecar
-index of offsets.  Readers then open members by the index.
+index of offsets.  Readers then open members at the places the sidecar names.
 
 Files are named anew by each attempt of a task, and only those named in the
 manifest that Spark commits count; an executor lost midway leaves a file that
@@ -169,10 +169,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def normalise(archives: DataFrame, source: str, folder: str, level: int = 4) -> DataFrame:
-    """Rewrite monolithic archives with a member per record.
+    """Rewrite monolithic archives with a member per record; (path, records) of each.
 
-    (path, offset, length) of each record; the same rows are written beside
-    each archive as ``<path>.idx`` lines.
+    Beside each archive a sidecar ``<path>.idx`` has a line with offset and
+    length of each member.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,47 +181,64 @@ def normalise(archives: DataFrame, source: str, folder: str, level: int = 4) ->
             _, old = open_filesystem(source)
             system.create_dir(base, recursive=True)
             for path in batch.column(0).to_pylist():
-                name, at, found = f"{uuid.uuid4().hex}.warc.gz", 0, []
-                with system.open_input_stream(f"{old}/{path}", compression=None) as data, system.open_output_stream(f"{base}/{name}", compression=None) as out:
+                name, at, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                with (
+                    system.open_input_stream(f"{old}/{path}", compression=None) as data,
+                    system.open_output_stream(f"{base}/{name}", compression=None) as out,
+                    system.open_output_stream(f"{base}/{name}.idx", compression=None) as sidecar,
+                ):
                     for record in split_records(inflate(data)):
                         pack = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = pack.compress(record) + pack.flush()
                         out.write(member)
-                        found.append((at, len(member)))
-                        at += len(member)
-                with system.open_output_stream(f"{base}/{name}.idx", compression=None) as out:
-                    out.write("".join(f"{a} {n}\n" for a, n in found).encode())
-                offsets, lengths = zip(*found, strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(found), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["path", "offset", "length"]
-                )
+                        sidecar.write(f"{at} {len(member)}\n".encode())
+                        at, count = at + len(member), count + 1
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["path", "records"])
 
     # A task per archive: a stream can only be inflated from its start.
     each = archives.select("path").repartition(max(1, archives.count()), "path")
-    return materialise(each.mapInArrow(rewrite, "path string, offset long, length long"), "warc-index")
+    return materialise(each.mapInArrow(rewrite, "path string, records long"), "warc-normal")
 
 
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Every indexed record, read at its offset: see ``read_record``."""
+def _sidecar_lines(data) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each line of a sidecar, read in blocks."""
+    rest = b""
+    while block := data.read(BLOCK):
+        *lines, rest = (rest + block).split(b"\n")
+        for line in lines:
+            offset, length = line.split(b" ")
+            yield int(offset), int(length)
+
+
+def read_archives(archives: DataFrame, folder: str, rows: int = 1024) -> DataFrame:
+    """Every record of the archives (path, records), read at its place in the sidecar: see ``read_record``."""
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [()] * 5
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _RECORDS.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_filesystem(folder)
-        opened, source = None, None
         for batch in batches:
-            rows = []
-            for path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if path != opened:
-                    opened, source = path, system.open_input_file(f"{base}/{path}")
-                source.seek(offset)
-                rows.append(read_record(source.read(length)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _RECORDS.split(", ")])
-
-    return index.mapInArrow(read, _RECORDS)
+            for path, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, count = [], 0
+                with system.open_input_file(f"{base}/{path}") as source, system.open_input_stream(f"{base}/{path}.idx", compression=None) as sidecar:
+                    for offset, length in _sidecar_lines(sidecar):
+                        source.seek(offset)
+                        found.append(read_record(source.read(length)))
+                        if len(found) == rows:
+                            yield batch_of(found)
+                            found, count = [], count + rows
+                if count + len(found) != records:
+                    raise ValueError(f"{path} has {count + len(found)} of {records} records")
+                yield batch_of(found)
+
+    each = archives.select("path", "records").repartition(max(1, archives.count()), "path")
+    return each.mapInArrow(read, _RECORDS)
 
 
 def archive_pages(pages: DataFrame, **columns) -> DataFrame:
