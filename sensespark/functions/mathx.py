@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The divisor's literal that trend angles are defined with.
+#: Fixed value: the divisor's literal that trend angles are defined with.
 HALF_TURN = 3.141592
 
 

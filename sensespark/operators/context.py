@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensespark.functions import mathx
+from sensespark.sources.store import materialise
+
+
+#: Positions whose tokens are kept or left together before a band join.
+STRETCH = 64
 
 
 def occurrences(tokens: DataFrame, heads: DataFrame) -> DataFrame:
@@ -17,11 +22,15 @@ def band(occ: DataFrame, tokens: DataFrame, left: int, right: int, by_doc: bool
     """Tokens from ``left`` before to ``right`` after each occurrence, with delta.
 
     A band join as an equi-join: an occurrence is listed under each position.
+    ``occ`` is read twice, so it is best a written table.
     """
     offsets = F.expr(f"filter(sequence({-left}, {right}), d -> d <> 0)")
     spread = occ.select("head_id", "hw", F.col("pos").alias("at"), F.col("doc_id").alias("at_doc"), F.explode(offsets).alias("delta"))
     spread = spread.withColumn("pos", F.col("at") + F.col("delta"))
-    found = spread.join(tokens.select("pos", "word", "doc_id"), "pos")
+    # Tokens of stretches without an occurrence leave before the shuffle.
+    touched = spread.select(F.floor(F.col("pos") / STRETCH).alias("stretch")).distinct()
+    near = tokens.select("pos", "word", "doc_id", F.floor(F.col("pos") / STRETCH).alias("stretch")).join(touched, "stretch", "left_semi").drop("stretch")
+    found = spread.join(near, "pos")
     return found.filter("doc_id = at_doc") if by_doc else found
 
 
@@ -47,9 +56,11 @@ def training_window(tokens: DataFrame, lexicon: DataFrame, window: int) -> DataF
 
 def kwic(occ: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
     """(hw, pos, lctx, kw, rctx): n tokens on either side of each occurrence."""
-    around = band(occ, tokens, n, n)
     side = lambda left: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("delta") < 0) == left, F.struct("delta", "word")))), lambda x: x["word"]), " ")
-    return around.groupBy("hw", F.col("at").alias("pos")).agg(side(True).alias("lctx"), side(False).alias("rctx")).withColumn("kw", F.col("hw"))
+    around = band(occ, tokens, n, n).groupBy("hw", F.col("at").alias("pos")).agg(side(True).alias("lctx"), side(False).alias("rctx"))
+    # A corpus of one token has an occurrence without neighbours.
+    lines = occ.select("hw", "pos").join(around, ["hw", "pos"], "left")
+    return lines.select("hw", "pos", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lctx", "rctx")], F.col("hw").alias("kw"))
 
 
 def pair_scores(pairs: DataFrame, senses: DataFrame, nodes: DataFrame, paths: DataFrame, fast: bool = False) -> DataFrame:
@@ -60,10 +71,11 @@ def pair_scores(pairs: DataFrame, senses: DataFrame, nodes: DataFrame, paths: Da
     product is taken once per sense and node.
     """
     logistic = mathx.clamped_log_sigmoid if fast else mathx.log_sigmoid
-    wanted = pairs.select("head_id").distinct()
-    own = senses.join(wanted, F.col("word_id") == F.col("head_id")).select("head_id", "sense", "vec")
-    dots = own.crossJoin(nodes.select("node_id", F.col("vec").alias("out"))).select("head_id", "sense", "node_id", mathx.dot(F.col("vec"), F.col("out")).alias("dot"))
-    steps = pairs.join(paths.withColumnRenamed("word_id", "ctx_id"), "ctx_id").join(dots, ["head_id", "node_id"])
+    steps = materialise(pairs.join(paths.withColumnRenamed("word_id", "ctx_id"), "ctx_id").select("head_id", "ctx_id", "node_id", "code"), "path-steps")
+    # Only nodes on the way to a context word of the head.
+    wanted = steps.select("head_id", "node_id").distinct().join(nodes.select("node_id", F.col("vec").alias("out")), "node_id")
+    dots = wanted.join(senses.select(F.col("word_id").alias("head_id"), "sense", "vec"), "head_id")
+    steps = steps.join(dots.select("head_id", "sense", "node_id", mathx.dot(F.col("vec"), F.col("out")).alias("dot")), ["head_id", "node_id"])
     term = logistic((1 - 2 * F.col("code")) * F.col("dot"))
     return steps.groupBy("head_id", "ctx_id", "sense").agg(F.sum(term).alias("score"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensespark.sources.store import materialise
+
 
 def frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
@@ -13,14 +15,20 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 def with_rank(rows: DataFrame, value: str, ties: list[Column], name: str) -> DataFrame:
     """Rows numbered from 0 by descending ``value``, ties by ``ties``.
 
-    Rows are counted per value first; only that short list is ordered as a
-    whole, and ties are ranked value by value.
+    Rows are dealt by ranges of the whole order, so that a frequent value, such
+    as that of the words seen once, spreads over partitions.  They are written
+    with their partition's number, since ranges come from a sample; only the
+    partitions' sizes are summed as a whole.
     """
-    sizes = rows.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    above = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(value, F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__first"))
-    within = F.row_number().over(Window.partitionBy(value).orderBy(*ties)) - 1
-    return rows.join(firsts, value).withColumn(name, (F.col("__first") + within).cast("long")).drop("__first")
+    order = [F.desc(value), *ties]
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    firsts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    ranked = dealt.withColumn("__within", within).join(F.broadcast(firsts), "__part")
+    return ranked.withColumn(name, (F.col("__first") + F.col("__within")).cast("long")).drop("__part", "__first", "__within")
 
 
 def ranked_lexicon(tokens: DataFrame, min_freq: int = 1, drop_top: int = 0) -> DataFrame:

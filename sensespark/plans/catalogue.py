@@ -11,6 +11,7 @@ from sensespark.functions import mathx
 from sensespark.operators import context, distribution, huffman, lexicon, model, senses, training, trends
 from sensespark.plans import oracle
 from sensespark.sources import corpus, fixtures
+from sensespark.sources.store import materialise
 
 WINDOW = 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,8 +26,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.plain_tokens(corpus.documents(spark, sf_dir))
 
 
-def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.tokens(corpus.documents(spark, sf_dir))
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return corpus.placed(corpus.documents(spark, sf_dir))
 
 
 def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -72,15 +73,15 @@ def skip_filtered_hits(spark, sf_dir):
 
 @query
 def subcorpus_tokens(spark, sf_dir):
-    docs = corpus.documents(spark, sf_dir)
-    ranges = corpus.structures(docs).filter("lang = 'en'").select("beg", "end")
-    return corpus.within_ranges(corpus.tokens(docs).select("pos", "word"), ranges).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    docs, structures = _placed(spark, sf_dir)
+    ranges = structures.filter("lang = 'en'").select("beg", "end")
+    return corpus.within_ranges(corpus.placed_tokens(docs).select("pos", "word"), ranges, semi=True).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
 @query
 def struct_merge_join(spark, sf_dir):
-    docs = corpus.documents(spark, sf_dir)
-    found = corpus.within_ranges(corpus.tokens(docs).select("pos"), corpus.structures(docs).select(F.col("doc_id").alias("struct_id"), "beg", "end"))
+    docs, structures = _placed(spark, sf_dir)
+    found = corpus.within_ranges(corpus.placed_tokens(docs).select("pos"), structures.select(F.col("doc_id").alias("struct_id"), "beg", "end"))
     return found.groupBy("struct_id", "beg", "end").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -98,11 +99,17 @@ def epoch_norm_filter(spark, sf_dir):
 
 def _counts(spark, sf_dir):
     toks = _tokens(spark, sf_dir)
-    return trends.word_epoch_counts(toks, fixtures.model(spark, sf_dir).lexicon, trends.epochs(toks, "source"), "source")
+    return trends.word_epoch_counts(toks, fixtures.model(spark, sf_dir).lexicon, _epochs(toks), "source")
+
+
+def _epochs(toks):
+    """One row per epoch, written since it is read more than once."""
+    return materialise(trends.epochs(toks, "source"), "epochs")
 
 
 def _series(spark, sf_dir):
-    return trends.relative(_counts(spark, sf_dir))
+    """One row per word and epoch, written since pairs of epochs read it twice."""
+    return materialise(trends.relative(_counts(spark, sf_dir)), "series")
 
 
 @query
@@ -208,19 +215,21 @@ def model_export(spark, sf_dir):
 
 
 def _occ(spark, sf_dir):
-    m, toks = fixtures.model(spark, sf_dir), _positions(spark, sf_dir)
-    return m, toks, context.occurrences(toks, fixtures.heads(m))
+    m, (docs, _) = fixtures.model(spark, sf_dir), _placed(spark, sf_dir)
+    toks = corpus.placed_tokens(docs)
+    # What the tools start from, written since every step reads it.
+    return m, docs, toks, materialise(context.occurrences(toks, fixtures.heads(m)), "occurrences")
 
 
 @query
 def kwic(spark, sf_dir):
-    _, toks, occ = _occ(spark, sf_dir)
+    _, _, toks, occ = _occ(spark, sf_dir)
     return context.kwic(occ, toks, 3)
 
 
 @query
 def context_window_infer(spark, sf_dir):
-    m, toks, occ = _occ(spark, sf_dir)
+    m, _, toks, occ = _occ(spark, sf_dir)
     return context.inference_window(occ, toks, m.lexicon, WINDOW).withColumnRenamed("at", "pos")
 
 
@@ -239,13 +248,13 @@ def pair_score(spark, sf_dir):
 
 
 def _posterior(spark, sf_dir):
-    m, toks, occ = _occ(spark, sf_dir)
-    return m, toks, occ, senses.occurrence_posteriors(occ, toks, m, WINDOW)
+    m, docs, toks, occ = _occ(spark, sf_dir)
+    return m, docs, toks, occ, materialise(senses.occurrence_posteriors(occ, toks, m, WINDOW), "posteriors")
 
 
 @query
 def posterior(spark, sf_dir):
-    return _round(_posterior(spark, sf_dir)[3].withColumnRenamed("at", "pos"), "p")
+    return _round(_posterior(spark, sf_dir)[4].withColumnRenamed("at", "pos"), "p")
 
 
 def _rows(spark, sf_dir):
@@ -268,8 +277,8 @@ def desamb_rows(spark, sf_dir):
 
 
 def _frequencies(spark, sf_dir, soft):
-    _, toks, occ, post = _posterior(spark, sf_dir)
-    return senses.sense_frequencies(post, occ, trends.epochs(toks, "source"), "source", fixtures.SENSES, soft)
+    _, _, _, occ, post = _posterior(spark, sf_dir)
+    return senses.sense_frequencies(post, occ, _epochs(_tokens(spark, sf_dir)), "source", fixtures.SENSES, soft)
 
 
 @query
@@ -284,19 +293,19 @@ def sense_freqs_soft(spark, sf_dir):
 
 @query
 def sense_concordance(spark, sf_dir):
-    _, toks, occ, post = _posterior(spark, sf_dir)
+    _, _, toks, occ, post = _posterior(spark, sf_dir)
     return senses.concordance(post, occ, toks, 0.9, 1.0, 20, 3)
 
 
-def _head_sketches(spark, sf_dir, m):
-    found = fixtures.sketches(spark, sf_dir).filter("cnt >= 5 and rnk >= 2")
-    return found.join(fixtures.heads(m).withColumnRenamed("hw", "head"), "head").select("doc_id", "head_id", "coll", "cnt", "rnk", "pos")
+def _head_sketches(docs, m):
+    found = fixtures.sketches(docs, fixtures.heads(m)).filter("cnt >= 5 and rnk >= 2")
+    return materialise(found.select("doc_id", "head_id", "coll", "cnt", "rnk", "pos"), "sketches")
 
 
 @query
 def sketch_stats(spark, sf_dir):
-    m, _, _, post = _posterior(spark, sf_dir)
-    found = senses.sketch_statistics(_head_sketches(spark, sf_dir, m), post, fixtures.SENSES)
+    m, docs, _, _, post = _posterior(spark, sf_dir)
+    found = senses.sketch_statistics(_head_sketches(docs, m), post, fixtures.SENSES)
     return _round(found.drop("dist"), "mean", "sd", "rnk", digits=4)
 
 
@@ -304,14 +313,14 @@ def sketch_stats(spark, sf_dir):
 def sketch_overlap(spark, sf_dir):
     """Documents that two collocates of a head have in common."""
     m = fixtures.model(spark, sf_dir)
-    rows = _head_sketches(spark, sf_dir, m).filter("cnt >= 10").select("head_id", "coll", "doc_id").distinct()
+    rows = _head_sketches(_placed(spark, sf_dir)[0], m).filter("cnt >= 10").select("head_id", "coll", "doc_id").distinct()
     other = rows.select("head_id", F.col("coll").alias("other"), "doc_id")
     return rows.join(other, ["head_id", "doc_id"]).filter("coll < other").groupBy("head_id", "coll", "other").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 @query
 def sample_positions(spark, sf_dir):
-    occ = _occ(spark, sf_dir)[2]
+    occ = _occ(spark, sf_dir)[3]
     return lexicon.sample_positions(occ.select("hw", "pos"), 100, ["hw"])
 
 

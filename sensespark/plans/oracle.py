@@ -94,7 +94,7 @@ _EACH = {
     "nearest_long": "q AS (SELECT hw, sn, round(sim, 6) AS sim, nn, nn_sn, rank FROM nearest)",
     "nearest_compact": "q AS (SELECT hw, sn, string_agg(nn || '##' || nn_sn, ' ' ORDER BY rank) AS nn, round(min(sim), 6) AS minsim, round(max(sim), 6) AS maxsim FROM nearest GROUP BY 1, 2)",
     "model_export": "q AS (SELECT row_number() OVER (ORDER BY floor(cnt)::BIGINT DESC, word_id DESC, sense DESC) - 1 AS row, word || '##' || sense AS key, round(pi, 9) AS prob, floor(cnt)::BIGINT AS frq FROM pis WHERE pi >= 1e-3)",
-    "kwic": "k AS (SELECT o.hw, o.pos, t.pos - o.pos AS delta, t.word FROM occ o JOIN tok t ON t.pos BETWEEN o.pos - 3 AND o.pos + 3 AND t.pos <> o.pos WHERE head_id = 50), q AS (SELECT hw, pos, hw AS kw, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta < 0), '') AS lctx, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta > 0), '') AS rctx FROM k GROUP BY hw, pos)",
+    "kwic": "k AS (SELECT o.hw, o.pos, t.pos - o.pos AS delta, t.word FROM occ o JOIN tok t ON t.pos BETWEEN o.pos - 3 AND o.pos + 3 AND t.pos <> o.pos), q AS (SELECT hw, pos, hw AS kw, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta < 0), '') AS lctx, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta > 0), '') AS rctx FROM k GROUP BY hw, pos)",
     "context_window_infer": "q AS (SELECT head_id, hw, apos AS pos, delta, ctx_id FROM win)",
     "context_window_train": "n AS (SELECT doc_id, word_id, row_number() OVER (PARTITION BY doc_id ORDER BY tok_ix) - 1 AS i FROM tok JOIN lex USING (word)), s AS (SELECT doc_id, i, word_id, unnest(range(-4, 4))::INT AS delta FROM n), q AS (SELECT s.word_id, n.word_id AS ctx_id, delta, count(*) AS n FROM s JOIN n ON n.doc_id = s.doc_id AND n.i = s.i + delta WHERE delta <> 0 GROUP BY ALL)",
     "pair_score": "q AS (SELECT head_id, ctx_id, sense, round(score, 6) AS score FROM scores WHERE head_id IN (6, 19, 50))",

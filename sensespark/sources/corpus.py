@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sensespark.sources.store import materialise
+
 #: Documents whose lengths are summed together before positions are numbered.
 BLOCK = 4096
 
@@ -44,18 +46,38 @@ def structures(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.join(starts, "block").withColumn("beg", beg).select("doc_id", "lang", "source", "beg", (F.col("beg") + F.col("len")).alias("end"))
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs with beg, structures): where each document begins, written once.
+
+    ``beg`` joins whole documents; they are exploded behind that join, so no
+    token is shuffled for its position.
+    """
+    begins = materialise(structures(docs), "structures")
+    return docs.join(begins.select("doc_id", "beg"), "doc_id"), begins
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(pos, doc_id, lang, source, tok_ix, word) with global positions."""
-    begins = structures(docs).select("doc_id", "beg")
-    return plain_tokens(docs).join(begins, "doc_id").select((F.col("beg") + F.col("tok_ix")).alias("pos"), "doc_id", "lang", "source", "tok_ix", "word")
+    return placed_tokens(placed(docs)[0])
+
+
+def placed_tokens(docs: DataFrame) -> DataFrame:
+    """``tokens`` of documents that have ``beg``."""
+    rows = docs.select("doc_id", "lang", "source", "beg", F.posexplode("words").alias("tok_ix", "word"))
+    return rows.select((F.col("beg") + F.col("tok_ix")).alias("pos"), "doc_id", "lang", "source", "tok_ix", "word")
 
 
-def within_ranges(positions: DataFrame, ranges: DataFrame, block: int = 8192) -> DataFrame:
+def within_ranges(positions: DataFrame, ranges: DataFrame, block: int = 8192, semi: bool = False) -> DataFrame:
     """Rows of ``positions`` whose pos is in a range [beg, end), with the range's columns.
 
     A range join as an equi-join: ranges are listed under each block of
-    positions that they touch.
+    positions that they touch.  With ``semi`` a row stays once, however many
+    ranges have it, and gets no column.
     """
     touched = ranges.filter("beg < end").withColumn("block", F.explode(F.sequence(F.floor(F.col("beg") / block), F.floor((F.col("end") - 1) / block))))
     keyed = positions.withColumn("block", F.floor(F.col("pos") / block))
+    if semi:
+        touched = touched.select(F.col("block").alias("__block"), "beg", "end")
+        inside = (F.col("block") == F.col("__block")) & (F.col("pos") >= F.col("beg")) & (F.col("pos") < F.col("end"))
+        return keyed.join(touched, inside, "left_semi").drop("block")
     return keyed.join(touched, "block").filter((F.col("pos") >= F.col("beg")) & (F.col("pos") < F.col("end"))).drop("block")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensespark.operators.lexicon import ranked_lexicon
 from sensespark.sources import corpus
+from sensespark.sources.store import materialise
 
 SENSES = 5
 ALPHA = 0.1
@@ -33,7 +34,7 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     vectors = corpus.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     size = vectors.count() // SENSES
     words = corpus.plain_tokens(corpus.documents(spark, sf_dir))
-    lexicon = ranked_lexicon(words).filter(F.col("word_id") < size)
+    lexicon = materialise(ranked_lexicon(words).filter(F.col("word_id") < size), "lexicon")
     shares = F.array(*[F.array(*[F.lit(x) for x in row]) for row in ((0.5, 0.3, 0.15, 0.05, 0.0), (0.7, 0.3, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0, 0.0))])
     word_id, sense = F.floor(F.col("vec_id") / SENSES), F.pmod("vec_id", F.lit(SENSES)).cast("int")
     rows = vectors.select(word_id.alias("word_id"), sense.alias("sense"), "vec").filter(F.col("word_id") < size)
@@ -54,15 +55,20 @@ def heads(fixture: Model) -> DataFrame:
     return fixture.lexicon.filter(F.col("word_id").isin(*HEADS)).select(F.col("word_id").alias("head_id"), F.col("word").alias("hw"))
 
 
-def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, head, coll, cnt, rnk, pos): adjacent words with their logDice."""
-    from pyspark.sql import Window
+def sketches(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc_id, head_id, head, coll, cnt, rnk, pos): words next to heads with their logDice.
 
-    toks = corpus.tokens(corpus.documents(spark, sf_dir))
-    following = F.lead("word").over(Window.partitionBy("doc_id").orderBy("tok_ix"))
-    pairs = toks.select("doc_id", "pos", F.col("word").alias("head"), following.alias("coll")).filter("coll is not null")
-    freqs = toks.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    ``docs`` has words and beg.  A word and its follower are neighbours in an
+    array, so no window is needed, and only pairs of heads leave their text.
+    """
+    steps = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(i.alias("i"), F.get("words", i).alias("head"), F.get("words", i + 1).alias("coll")))
+    every = docs.filter(F.size("words") > 1).select("doc_id", "beg", F.explode(steps).alias("s"))
+    listed = heads.select("head_id", F.col("hw").alias("head"))
+    pairs = every.select("doc_id", (F.col("beg") + F.col("s.i")).alias("pos"), "s.head", "s.coll").join(F.broadcast(listed), "head")
+    pairs = materialise(pairs, "sketch-pairs")
     counts = pairs.groupBy("head", "coll").agg(F.count(F.lit(1)).alias("cnt"))
+    words = pairs.select(F.col("coll").alias("word")).unionByName(listed.select(F.col("head").alias("word"))).distinct()
+    freqs = materialise(docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f")).join(words, "word", "left_semi"), "sketch-words")
     scored = counts.join(freqs.select(F.col("word").alias("head"), F.col("f").alias("fx")), "head").join(
         freqs.select(F.col("word").alias("coll"), F.col("f").alias("fy")), "coll"
     )
