@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensespark.operators import context as ctx
 from sensespark.operators import model as models
+from sensespark.sources.store import materialise
 
 
 def log_priors(senses: DataFrame, alpha: float, min_prob: float = 1e-3) -> DataFrame:
@@ -49,7 +50,8 @@ def row_contexts(rows: DataFrame, lexicon: DataFrame, window: int) -> tuple[Data
 
 def occurrence_posteriors(occ: DataFrame, tokens: DataFrame, model, window: int, fast: bool = False) -> DataFrame:
     """(head_id, at, sense, p) of each occurrence (head_id, hw, pos)."""
-    found = ctx.inference_window(occ, tokens, model.lexicon, window).select("head_id", "at", "ctx_id")
+    # Read for the pairs to score and for the occurrences themselves.
+    found = materialise(ctx.inference_window(occ, tokens, model.lexicon, window).select("head_id", "at", "ctx_id"), "windows")
     scores = ctx.pair_scores(found.select("head_id", "ctx_id").distinct(), model.senses, model.nodes, model.paths, fast)
     every = occ.select("head_id", F.col("pos").alias("at")).join(found, ["head_id", "at"], "left")
     return ctx.posteriors(every, scores, log_priors(model.senses, model.alpha), ["at"])

@@ -33,11 +33,13 @@ def plain_tokens(docs: DataFrame) -> DataFrame:
 def structures(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, lang, source, beg, end): documents as intervals of positions.
 
-    A document begins after all with a smaller id.  Lengths are summed per
+    A document begins after all with a smaller id.  Lengths are written, since
+    they are read twice and texts need not be.  They are summed per
     block of ids first, so the window without partitions has one row per block
     and the others see one block each.
     """
     rows = docs.select("doc_id", "lang", "source", F.size("words").cast("long").alias("len"), F.floor(F.col("doc_id") / block).alias("block"))
+    rows = materialise(rows, "lengths")
     totals = rows.groupBy("block").agg(F.sum("len").alias("block_len"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("block", F.coalesce(F.sum("block_len").over(before), F.lit(0)).alias("start"))

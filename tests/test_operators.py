@@ -2,6 +2,7 @@
 
 import math
 import os
+import struct
 
 import duckdb
 import numpy as np
@@ -10,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensespark.functions import mathx
-from sensespark.operators import huffman, lexicon, model, training, trends
+from sensespark.operators import context, huffman, lexicon, model, senses, training, trends
 from sensespark.plans import catalogue
-from sensespark.sources import fixtures, model_files
+from sensespark.sources import corpus, fixtures, model_files, store
 from sensespark.streaming import requests
 
 DATA = "/root/testdata/sf0.001"
@@ -131,3 +132,70 @@ def test_stream_of_requests(spark, tmp_path):
     stream = spark.readStream.schema("hw string").csv(str(tmp_path / "in"))
     requests.answer(stream, requests.nearest_reply(senses, senses, 1), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert [r["nn"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["y"]
+
+
+def test_sinks_hold_what_was_written(spark, tmp_path):
+    trend = spark.createDataFrame([(2, -45, 0.5), (1, 30, 0.01)], "word_id long, angle int, p double")
+    model_files.write_trends(trend, str(tmp_path / "t"))
+    data = (tmp_path / "t").read_bytes()
+    assert data[:32].rstrip(b"\0") == model_files.TRENDS and len(data) == 32 + 2 * 9
+    assert [struct.unpack_from("<Ibf", data, 32 + 9 * i)[:2] for i in range(2)] == [(1, 30), (2, -45)]
+    graphs = spark.createDataFrame([(7, 0xFEDCBA98), (3, 1)], "word_id long, graph long")
+    model_files.write_minigraphs(graphs, str(tmp_path / "g"))
+    data = (tmp_path / "g").read_bytes()
+    assert data[:32].rstrip(b"\0") == model_files.MINIGRAPHS and struct.unpack("<IIII", data[32:]) == (3, 1, 7, 0xFEDCBA98)
+    ranges = [(0, 5), (9, 2**40)]
+    model_files.write_ranges(spark.createDataFrame(ranges[::-1], "beg long, end long"), str(tmp_path / "r"))
+    assert [tuple(r) for r in model_files.read_ranges(spark, str(tmp_path / "r")).orderBy("beg").collect()] == ranges
+
+
+def test_vectors_are_padded_and_normalised(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b##0", 0.25, 3, [0.0, 2.0, 0.0]), (0, "a##1", 0.75, 9, [3.0, 0.0, 4.0])], "row long, key string, prob double, frq long, vec array<double>")
+    model_files.write_vectors(rows, str(tmp_path / "v"))
+    found = np.frombuffer((tmp_path / "v" / "vectors.bvec32").read_bytes(), "<f4").reshape(2, 8)
+    assert np.allclose(found, [[0.6, 0, 0.8, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0, 0, 0]])
+    assert (tmp_path / "v" / "vectors.dic").read_text() == "2 8\na##1\nb##0\n"
+    assert (tmp_path / "v" / "vectors.cnt").read_text() == "a##1\t0.75\t9\nb##0\t0.25\t3\n"
+
+
+def test_lines_keep_quotes(spark, tmp_path):
+    rows = spark.createDataFrame([('say "x', "a b"), ("y", "c")], "head string, context string")
+    model_files.write_lines(rows, str(tmp_path / "l"), header=False)
+    assert sorted(map(tuple, model_files.read_lines(spark, str(tmp_path / "l"), ["head", "context"]).collect())) == [('say "x', "a b"), ("y", "c")]
+
+
+def test_model_tables_of_a_file(spark, tmp_path):
+    paths = huffman.paths([5, 3, 2])
+    model_files.write_model(str(tmp_path / "m"), ["x", "y", "z"], np.array([5, 3, 2]), paths, np.ones((3, 2)), np.ones((3, 2, 4)), np.ones((3, 4)), 0.1, np.ones((3, 2)))
+    tables = model_files.model_tables(spark, model_files.read_model(str(tmp_path / "m")))
+    assert {k: t.count() for k, t in tables.items()} == {"lexicon": 3, "senses": 6, "nodes": 3, "hs_path": sum(map(len, paths))}
+
+
+def test_ranks_follow_the_whole_order(spark):
+    df = spark.createDataFrame([(f"w{i:04d}", 1 if i > 50 else 100 - i // 2) for i in range(2000)], "word string, freq long")
+    got = [(r["word"], r["id"]) for r in lexicon.with_rank(df, "freq", [F.col("word").asc()], "id").collect()]
+    want = sorted((-(1 if i > 50 else 100 - i // 2), f"w{i:04d}") for i in range(2000))
+    assert sorted(got, key=lambda x: x[1]) == [(w, k) for k, (_, w) in enumerate(want)]
+    assert lexicon.with_rank(df.limit(0), "freq", [F.col("word").asc()], "id").count() == 0
+
+
+def test_overlapping_ranges_select_a_token_once(spark):
+    tokens = spark.range(20).select(F.col("id").alias("pos"))
+    ranges = spark.createDataFrame([(2, 8), (5, 10), (5, 10), (12, 12)], "beg long, end long")
+    assert sorted(r["pos"] for r in corpus.within_ranges(tokens, ranges, 4, semi=True).collect()) == list(range(2, 10))
+
+
+def test_tools_read_the_documents_few_times(spark, monkeypatch):
+    """Scans of documents in all plans that a query runs, those of written tables included."""
+    scans, write = [], store.materialise
+
+    def counted(df):
+        scans.append(df._jdf.queryExecution().sparkPlan().toString().count("documents.parquet"))
+        return df
+
+    for module in (catalogue, context, corpus, fixtures, lexicon, senses):
+        monkeypatch.setattr(module, "materialise", lambda df, name: write(counted(df), name))
+    for name, most in (("posterior", 4), ("sense_freqs_hard", 5), ("sketch_stats", 6)):
+        scans.clear()
+        counted(catalogue.queries()[name](spark, DATA))
+        assert 0 < sum(scans) <= most, (name, scans)
