@@ -54,13 +54,39 @@ def training_window(tokens: DataFrame, lexicon: DataFrame, window: int) -> DataF
     return spread.join(others, ["doc_id", "k"]).select("doc_id", "i", "word_id", "ctx_id", "delta")
 
 
-def kwic(occ: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
-    """(hw, pos, lctx, kw, rctx): n tokens on either side of each occurrence."""
-    side = lambda left: F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("delta") < 0) == left, F.struct("delta", "word")))), lambda x: x["word"]), " ")
-    around = band(occ, tokens, n, n).groupBy("hw", F.col("at").alias("pos")).agg(side(True).alias("lctx"), side(False).alias("rctx"))
+def kwic(occ: DataFrame, tokens: DataFrame, n: int, glue: DataFrame | None = None) -> DataFrame:
+    """(hw, pos, lctx, kw, rctx): n tokens on either side of each occurrence.
+
+    Tokens are parted by blanks.  With ``glue`` (pos: where a glue begins) no
+    blank stands before such a token, and the blanks beside the keyword are
+    written too, at the end of lctx and the start of rctx, so that the three
+    parts together are the text.
+    """
+    near = band(occ, tokens, n, n)
+    if glue is not None:
+        near = _apart(near, glue)
+    parts = F.struct("delta", "word", *([] if glue is None else ["gap"]))
+    left, right = (F.sort_array(F.collect_list(F.when(side, parts))) for side in (F.col("delta") < 0, F.col("delta") > 0))
+    around = near.groupBy("hw", F.col("at").alias("pos")).agg(left.alias("left"), right.alias("right"))
     # A corpus of one token has an occurrence without neighbours.
     lines = occ.select("hw", "pos").join(around, ["hw", "pos"], "left")
-    return lines.select("hw", "pos", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lctx", "rctx")], F.col("hw").alias("kw"))
+    if glue is None:
+        text = lambda c: F.array_join(F.transform(c, lambda x: x["word"]), " ")
+        lctx, rctx = text("left"), text("right")
+    else:
+        text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["gap"], x["word"])), "")
+        lines = _apart(lines, glue)
+        # The line's first token has nothing before it.
+        start = F.length(F.get("left", 0)["gap"])
+        lctx = F.when(F.size("left") > 0, F.concat(F.substring(text("left"), start + 1, F.length(text("left"))), "gap"))
+        rctx = text("right")
+    return lines.select("hw", "pos", F.coalesce(lctx, F.lit("")).alias("lctx"), F.coalesce(rctx, F.lit("")).alias("rctx"), F.col("hw").alias("kw"))
+
+
+def _apart(rows: DataFrame, glue: DataFrame) -> DataFrame:
+    """Adds gap, what stands before a row's token: nothing where a glue begins, else a blank."""
+    starts = glue.select("pos").distinct().withColumn("__glued", F.lit(True))
+    return rows.join(starts, "pos", "left").withColumn("gap", F.when(F.col("__glued"), "").otherwise(" ")).drop("__glued")
 
 
 def pair_scores(pairs: DataFrame, senses: DataFrame, nodes: DataFrame, paths: DataFrame, fast: bool = False) -> DataFrame:
@@ -70,7 +96,7 @@ def pair_scores(pairs: DataFrame, senses: DataFrame, nodes: DataFrame, paths: Da
     over its path in the tree.  It hangs on nothing but the pair, so each inner
     product is taken once per sense and node.
     """
-    logistic = mathx.clamped_log_sigmoid if fast else mathx.log_sigmoid
+    logistic = mathx.fast_log_sigmoid if fast else mathx.log_sigmoid
     steps = materialise(pairs.join(paths.withColumnRenamed("word_id", "ctx_id"), "ctx_id").select("head_id", "ctx_id", "node_id", "code"), "path-steps")
     # Only nodes on the way to a context word of the head.
     wanted = steps.select("head_id", "node_id").distinct().join(nodes.select("node_id", F.col("vec").alias("out")), "node_id")

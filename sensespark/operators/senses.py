@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensespark.operators import context as ctx
@@ -48,6 +48,21 @@ def row_contexts(rows: DataFrame, lexicon: DataFrame, window: int) -> tuple[Data
     return found.select("row_id", "head_id", status.alias("status")), contexts
 
 
+def disambiguated(rows: DataFrame, status: DataFrame, post: DataFrame, senses: int) -> DataFrame:
+    """``rows`` with all their columns, plus status, cluster, p, cluster_probs and nsenses.
+
+    ``post`` has row_id, sense, p of active senses.  cluster_probs lists all
+    ``senses`` as ``k:p`` with two digits, inactive ones as 0.00; nsenses counts
+    the active ones.  Rows without a known head have a status and nulls.
+    """
+    best = ctx.best_sense(post, ["row_id"]).select("row_id", F.concat(F.lit("c"), F.col("sense").cast("string")).alias("cluster"), "p")
+    shares = [F.round(F.coalesce(F.max(F.when(F.col("sense") == k, F.col("p"))), F.lit(0.0)), 9) for k in range(senses)]
+    listed = F.concat_ws(" ", *[F.format_string(f"{k}:%.2f", share) for k, share in enumerate(shares)])
+    each = post.groupBy("row_id").agg(listed.alias("cluster_probs"), F.count(F.lit(1)).alias("nsenses"))
+    found = status.select("row_id", "status").join(best, "row_id", "left").join(each, "row_id", "left")
+    return rows.join(found, "row_id", "left")
+
+
 def occurrence_posteriors(occ: DataFrame, tokens: DataFrame, model, window: int, fast: bool = False) -> DataFrame:
     """(head_id, at, sense, p) of each occurrence (head_id, hw, pos)."""
     # Read for the pairs to score and for the occurrences themselves.
@@ -102,3 +117,22 @@ def sketch_statistics(sketches: DataFrame, post: DataFrame, senses: int, min_pro
     dist = F.array_join(F.transform("all", lambda x: F.format_string("%d:%.2f/%.2f", x["sense"], x["mean"], x["sd"])), " ")
     cluster = F.when(weak, "-").otherwise(F.col("best.sense").cast("string"))
     return rows.select("head_id", "coll", "cnt", "rnk", cluster.alias("cluster"), F.col("best.mean").alias("mean"), F.col("best.sd").alias("sd"), "n", dist.alias("dist"))
+
+
+def label(words: Column) -> Column:
+    """The words of a longest match without its last one, parted by blanks; empty for fewer than two."""
+    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")).otherwise("")
+
+
+def sketch_evaluation(sketches: DataFrame, post: DataFrame) -> DataFrame:
+    """(mean, sd, head_id, coll, cnt, rnk, label): how sure the likeliest sense of each collocate is.
+
+    ``sketches`` has lcm, an array of words alike for a collocate, besides the
+    columns of ``sketch_statistics``.  No sense is masked; a collocate without
+    scored positions has -1 and -1.
+    """
+    names = sketches.groupBy("head_id", "coll", "cnt", "rnk").agg(F.max("lcm").alias("lcm"))
+    stats = sketch_statistics(sketches, post, 0, 0.0, 0).select("head_id", "coll", "mean", "sd")
+    rows = names.join(stats, ["head_id", "coll"], "left")
+    sure = [F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("mean", "sd")]
+    return rows.select(*sure, "head_id", "coll", "cnt", "rnk", label(F.col("lcm")).alias("label"))

@@ -227,6 +227,13 @@ def kwic(spark, sf_dir):
     return context.kwic(occ, toks, 3)
 
 
+@query
+def kwic_glue(spark, sf_dir):
+    """Lines with documents as the glue structure: no blank where one begins."""
+    _, docs, toks, occ = _occ(spark, sf_dir)
+    return context.kwic(occ, toks, 3, docs.select(F.col("beg").alias("pos")))
+
+
 @query
 def context_window_infer(spark, sf_dir):
     m, _, toks, occ = _occ(spark, sf_dir)
@@ -240,11 +247,20 @@ def context_window_train(spark, sf_dir):
     return found.groupBy("word_id", "ctx_id", "delta").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def pair_score(spark, sf_dir):
+def _pair_scores(spark, sf_dir, fast):
     m = fixtures.model(spark, sf_dir)
     pairs = fixtures.heads(m).select("head_id").crossJoin(m.lexicon.select(F.col("word_id").alias("ctx_id")))
-    return _round(context.pair_scores(pairs, m.senses, m.nodes, m.paths), "score")
+    return _round(context.pair_scores(pairs, m.senses, m.nodes, m.paths, fast), "score")
+
+
+@query
+def pair_score(spark, sf_dir):
+    return _pair_scores(spark, sf_dir, False)
+
+
+@query
+def pair_score_fast(spark, sf_dir):
+    return _pair_scores(spark, sf_dir, True)
 
 
 def _posterior(spark, sf_dir):
@@ -259,23 +275,37 @@ def posterior(spark, sf_dir):
 
 def _rows(spark, sf_dir):
     m = fixtures.model(spark, sf_dir)
-    return m, *senses.row_contexts(fixtures.context_rows(spark, sf_dir, m.words), m.lexicon, WINDOW)
+    rows = fixtures.context_rows(spark, sf_dir, m.words)
+    return m, rows, *senses.row_contexts(rows, m.lexicon, WINDOW)
 
 
 @query
 def desamb_status(spark, sf_dir):
-    return _rows(spark, sf_dir)[1].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return _rows(spark, sf_dir)[2].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _row_posteriors(m, found):
+    # Read for the best sense and for the list of all.
+    found = materialise(found, "row-contexts")
+    scores = context.pair_scores(found.filter("ctx_id is not null").select("head_id", "ctx_id").distinct(), m.senses, m.nodes, m.paths)
+    return materialise(context.posteriors(found, scores, senses.log_priors(m.senses, m.alpha), ["row_id"]), "row-posteriors")
 
 
 @query
 def desamb_rows(spark, sf_dir):
-    m, status, found = _rows(spark, sf_dir)
-    scores = context.pair_scores(found.filter("ctx_id is not null").select("head_id", "ctx_id").distinct(), m.senses, m.nodes, m.paths)
-    best = context.best_sense(context.posteriors(found, scores, senses.log_priors(m.senses, m.alpha), ["row_id"]), ["row_id"])
+    m, _, status, found = _rows(spark, sf_dir)
+    best = context.best_sense(_row_posteriors(m, found), ["row_id"])
     out = status.join(best.select("row_id", "sense", "p"), "row_id", "left")
     return _round(out.select("row_id", "status", F.concat(F.lit("c"), F.col("sense").cast("string")).alias("cluster"), "p"), "p")
 
 
+@query
+def desamb_table(spark, sf_dir):
+    """The rows as given with all that the tool appends."""
+    m, rows, status, found = _rows(spark, sf_dir)
+    return _round(senses.disambiguated(rows, status, _row_posteriors(m, found), fixtures.SENSES), "p")
+
+
 def _frequencies(spark, sf_dir, soft):
     _, _, _, occ, post = _posterior(spark, sf_dir)
     return senses.sense_frequencies(post, occ, _epochs(_tokens(spark, sf_dir)), "source", fixtures.SENSES, soft)
@@ -299,7 +329,7 @@ def sense_concordance(spark, sf_dir):
 
 def _head_sketches(docs, m):
     found = fixtures.sketches(docs, fixtures.heads(m)).filter("cnt >= 5 and rnk >= 2")
-    return materialise(found.select("doc_id", "head_id", "coll", "cnt", "rnk", "pos"), "sketches")
+    return materialise(found.select("doc_id", "head_id", "head", "coll", "cnt", "rnk", "pos"), "sketches")
 
 
 @query
@@ -309,6 +339,15 @@ def sketch_stats(spark, sf_dir):
     return _round(found.drop("dist"), "mean", "sd", "rnk", digits=4)
 
 
+@query
+def sketch_eval(spark, sf_dir):
+    """The same statistics without a mask; collocates of an even count have a longest match of three words."""
+    m, docs, _, _, post = _posterior(spark, sf_dir)
+    lcm = F.when(F.col("cnt") % 2 == 0, F.array("head", "coll", "coll")).otherwise(F.array("coll"))
+    rows = _head_sketches(docs, m).withColumn("lcm", lcm)
+    return _round(senses.sketch_evaluation(rows, post), "mean", "sd", "rnk", digits=4)
+
+
 @query
 def sketch_overlap(spark, sf_dir):
     """Documents that two collocates of a head have in common."""

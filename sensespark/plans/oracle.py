@@ -95,16 +95,20 @@ _EACH = {
     "nearest_compact": "q AS (SELECT hw, sn, string_agg(nn || '##' || nn_sn, ' ' ORDER BY rank) AS nn, round(min(sim), 6) AS minsim, round(max(sim), 6) AS maxsim FROM nearest GROUP BY 1, 2)",
     "model_export": "q AS (SELECT row_number() OVER (ORDER BY floor(cnt)::BIGINT DESC, word_id DESC, sense DESC) - 1 AS row, word || '##' || sense AS key, round(pi, 9) AS prob, floor(cnt)::BIGINT AS frq FROM pis WHERE pi >= 1e-3)",
     "kwic": "k AS (SELECT o.hw, o.pos, t.pos - o.pos AS delta, t.word FROM occ o JOIN tok t ON t.pos BETWEEN o.pos - 3 AND o.pos + 3 AND t.pos <> o.pos), q AS (SELECT hw, pos, hw AS kw, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta < 0), '') AS lctx, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta > 0), '') AS rctx FROM k GROUP BY hw, pos)",
+    "kwic_glue": "k AS (SELECT o.hw, o.pos, t.pos - o.pos AS delta, t.word, CASE WHEN t.pos IN (SELECT beg FROM st) THEN '' ELSE ' ' END AS gap FROM occ o JOIN tok t ON t.pos BETWEEN o.pos - 3 AND o.pos + 3), g AS (SELECT *, CASE WHEN delta = min(delta) OVER (PARTITION BY hw, pos) THEN '' ELSE gap END AS sep FROM k), q AS (SELECT hw, pos, hw AS kw, coalesce(string_agg(sep || word, '' ORDER BY delta) FILTER (delta < 0), '') || max(sep) FILTER (delta = 0) AS lctx, coalesce(string_agg(sep || word, '' ORDER BY delta) FILTER (delta > 0), '') AS rctx FROM g GROUP BY hw, pos)",
     "context_window_infer": "q AS (SELECT head_id, hw, apos AS pos, delta, ctx_id FROM win)",
     "context_window_train": "n AS (SELECT doc_id, word_id, row_number() OVER (PARTITION BY doc_id ORDER BY tok_ix) - 1 AS i FROM tok JOIN lex USING (word)), s AS (SELECT doc_id, i, word_id, unnest(range(-4, 4))::INT AS delta FROM n), q AS (SELECT s.word_id, n.word_id AS ctx_id, delta, count(*) AS n FROM s JOIN n ON n.doc_id = s.doc_id AND n.i = s.i + delta WHERE delta <> 0 GROUP BY ALL)",
     "pair_score": "q AS (SELECT head_id, ctx_id, sense, round(score, 6) AS score FROM scores WHERE head_id IN (6, 19, 50))",
+    "pair_score_fast": "c AS (SELECT *, (x + 8) * 4095 / 16 AS t, least(floor((x + 8) * 4095 / 16), 4094) AS i FROM steps WHERE head_id IN (6, 19, 50)), e AS (SELECT *, -ln(1 + exp(8 - i * 16 / 4095)) AS a, -ln(1 + exp(8 - (i + 1) * 16 / 4095)) AS b FROM c), q AS (SELECT head_id, ctx_id, sense, round(sum(CASE WHEN x >= 8 THEN 0 WHEN x <= -8 THEN x ELSE a + (b - a) * (t - i) END), 6) AS score FROM e GROUP BY ALL)",
     "posterior": "q AS (SELECT apos AS pos, head_id, sense, round(p, 6) AS p FROM post)",
     "desamb_status": "q AS (SELECT status, count(*) AS n FROM cstat GROUP BY 1)",
     "desamb_rows": "b AS (SELECT row_id, sense, round(p, 9) AS p FROM cpost QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(p, 9) DESC, sense DESC) = 1), q AS (SELECT c.row_id, status, 'c' || sense AS cluster, round(p, 6) AS p FROM cstat c LEFT JOIN b USING (row_id))",
+    "desamb_table": "b AS (SELECT row_id, sense, round(p, 9) AS p FROM cpost QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(p, 9) DESC, sense DESC) = 1), n AS (SELECT row_id, count(*) AS nsenses FROM cpost GROUP BY 1), a AS (SELECT n.row_id, string_agg(k || ':' || printf('%.2f', round(coalesce(p, 0), 9)), ' ' ORDER BY k) AS cluster_probs FROM n CROSS JOIN range(5) r(k) LEFT JOIN cpost c ON c.row_id = n.row_id AND c.sense = k GROUP BY 1), q AS (SELECT crow.row_id, crow.head_id, context, status, 'c' || sense AS cluster, round(p, 6) AS p, cluster_probs, nsenses FROM crow JOIN cstat USING (row_id) LEFT JOIN b USING (row_id) LEFT JOIN a USING (row_id) LEFT JOIN n USING (row_id))",
     "sense_freqs_hard": "f AS (SELECT b.head_id, e.epoch_no, b.sense, 1.0::DOUBLE AS p FROM best b JOIN occ o ON o.head_id = b.head_id AND o.pos = b.apos JOIN ep e ON e.value = o.source), {pivot}",
     "sense_freqs_soft": "f AS (SELECT b.head_id, e.epoch_no, b.sense, b.p FROM post b JOIN occ o ON o.head_id = b.head_id AND o.pos = b.apos JOIN ep e ON e.value = o.source), {pivot}",
     "sense_concordance": "s AS (SELECT head_id, sense, p, min(apos) AS apos FROM kept WHERE p BETWEEN 0.9 AND 1.0 GROUP BY 1, 2, 3), c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY head_id, sense ORDER BY p DESC, apos) <= 20), k AS (SELECT hw, sense AS sn, p AS prob, apos AS pos, t.pos - apos AS delta, t.word FROM c JOIN heads USING (head_id) JOIN tok t ON t.pos BETWEEN apos - 3 AND apos + 3 AND t.pos <> apos), q AS (SELECT hw, sn, prob, pos, hw AS kw, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta < 0), '') AS lctx, coalesce(string_agg(word, ' ' ORDER BY delta) FILTER (delta > 0), '') AS rctx FROM k GROUP BY hw, sn, prob, pos)",
     "sketch_stats": "g AS (SELECT h.head_id, coll, cnt, rnk, h.pos AS apos, sense, p FROM hk h JOIN post ON post.head_id = h.head_id AND post.apos = h.pos), s AS (SELECT head_id, coll, cnt, rnk, sense, avg(p) AS mean, coalesce(stddev_samp(p), 0) AS sd FROM g GROUP BY ALL), c AS (SELECT head_id, coll, count(DISTINCT apos) AS n FROM g GROUP BY ALL), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY head_id, coll ORDER BY round(mean, 9) DESC, sense DESC) = 1), q AS (SELECT head_id, coll, cnt, round(rnk, 4) AS rnk, CASE WHEN mean < 0.6 OR n < 5 THEN '-' ELSE sense::VARCHAR END AS cluster, round(mean, 4) AS mean, round(sd, 4) AS sd, n FROM b JOIN c USING (head_id, coll))",
+    "sketch_eval": "g AS (SELECT h.head_id, head, coll, cnt, rnk, sense, p FROM hk h JOIN post ON post.head_id = h.head_id AND post.apos = h.pos), s AS (SELECT head_id, head, coll, cnt, rnk, sense, avg(p) AS mean, coalesce(stddev_samp(p), 0) AS sd FROM g GROUP BY ALL), q AS (SELECT round(mean, 4) AS mean, round(sd, 4) AS sd, head_id, coll, cnt, round(rnk, 4) AS rnk, CASE WHEN cnt % 2 = 0 THEN head || ' ' || coll ELSE '' END AS label FROM s QUALIFY row_number() OVER (PARTITION BY head_id, coll ORDER BY round(mean, 9) DESC, sense DESC) = 1)",
     "sketch_overlap": "r AS (SELECT DISTINCT head_id, coll, doc_id FROM hk WHERE cnt >= 10), q AS (SELECT a.head_id, a.coll, b.coll AS other, count(*) AS n_shared FROM r a JOIN r b ON a.head_id = b.head_id AND a.doc_id = b.doc_id AND a.coll < b.coll GROUP BY ALL)",
 }
 

@@ -32,7 +32,7 @@ def rows(df):
     return sorted((tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", ["lexicon_topk", "hit_type_marginals", "epoch_natural_order", "trend_theil_sen", "trend_minigraph", "nearest_long", "model_export", "context_window_infer", "pair_score", "desamb_rows", "sketch_overlap"])
+@pytest.mark.parametrize("name", ["lexicon_topk", "hit_type_marginals", "epoch_natural_order", "trend_theil_sen", "trend_minigraph", "nearest_long", "model_export", "context_window_infer", "pair_score", "pair_score_fast", "kwic_glue", "desamb_rows", "desamb_table", "sketch_eval", "sketch_overlap"])
 def test_query_agrees_with_sql(spark, con, name):
     got = catalogue.queries()[name](spark, DATA).toPandas()
     assert rows(got) == rows(con.execute(catalogue.oracle_sql()[name]).df())
@@ -48,6 +48,45 @@ def test_kwic_has_every_occurrence_of_every_head(spark, con):
     assert rows(found) == rows(con.execute(catalogue.oracle_sql()["kwic"]).df())
 
 
+def test_glue_takes_blanks_away(spark):
+    words = ["a", "b", "x", "c", "d", "x"]
+    toks = spark.createDataFrame([(i, w, 0) for i, w in enumerate(words)], "pos long, word string, doc_id long")
+    occ = spark.createDataFrame([(1, "x", 2, 0), (1, "x", 5, 0), (1, "a", 0, 0)], "head_id long, hw string, pos long, doc_id long")
+    glue = spark.createDataFrame([(1,), (3,), (5,), (5,)], "pos long")
+    got = {r["pos"]: (r["lctx"], r["kw"], r["rctx"]) for r in context.kwic(occ, toks, 2, glue).collect()}
+    assert got == {0: ("", "a", "b x"), 2: ("ab ", "x", "c d"), 5: ("c d", "x", "")}
+    none = {r["pos"]: (r["lctx"], r["rctx"]) for r in context.kwic(occ, toks, 2, glue.limit(0)).collect()}
+    assert none == {0: ("", " b x"), 2: ("a b ", " c d"), 5: ("c d ", "")}
+
+
+def test_fast_math_interpolates_the_grid(spark):
+    xs = [-30.0, -8.0, -7.9999, -3.3, -1e-9, 0.0, 0.7, 5.123, 7.9999, 8.0, 30.0]
+    grid = np.linspace(-8, 8, 4096)
+    s, ls = 1 / (1 + np.exp(-grid)), -np.log1p(np.exp(-grid))
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", mathx.fast_sigmoid(F.col("x")).alias("s"), mathx.fast_log_sigmoid(F.col("x")).alias("l"))
+    for r in df.collect():
+        x = r["x"]
+        assert r["s"] == pytest.approx(0.0 if x <= -8 else 1.0 if x >= 8 else np.interp(x, grid, s), abs=1e-12)
+        assert r["l"] == pytest.approx(x if x <= -8 else 0.0 if x >= 8 else np.interp(x, grid, ls), abs=1e-12)
+
+
+def test_disambiguated_rows_keep_their_columns(spark):
+    given = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "row_id long, context string, more long")
+    status = spark.createDataFrame([(1, "allok_hw"), (2, "nhead")], "row_id long, status string")
+    post = spark.createDataFrame([(1, 7, 0, 0.25), (1, 7, 2, 0.75)], "row_id long, head_id long, sense int, p double")
+    got = senses.disambiguated(given, status, post, 3).orderBy("row_id").collect()
+    assert got[0].asDict() == {"row_id": 1, "context": "a", "more": 5, "status": "allok_hw", "cluster": "c2", "p": 0.75, "cluster_probs": "0:0.25 1:0.00 2:0.75", "nsenses": 2}
+    assert got[1].asDict() == {"row_id": 2, "context": "b", "more": None, "status": "nhead", "cluster": None, "p": None, "cluster_probs": None, "nsenses": None}
+
+
+def test_labels_and_unscored_collocates(spark):
+    words = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],), (None,)], "lcm array<string>")
+    assert [r[0] for r in words.select(senses.label(F.col("lcm"))).collect()] == ["a b", "", "", ""]
+    rows = spark.createDataFrame([(1, "c", 2, 1.0, 9, ["h", "c"])], "head_id long, coll string, cnt long, rnk double, pos long, lcm array<string>")
+    none = spark.createDataFrame([], "head_id long, at long, sense int, p double")
+    assert senses.sketch_evaluation(rows, none).collect()[0].asDict() == {"mean": -1.0, "sd": -1.0, "head_id": 1, "coll": "c", "cnt": 2, "rnk": 1.0, "label": "h"}
+
+
 def test_every_statement_has_its_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
