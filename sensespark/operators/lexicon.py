@@ -49,10 +49,10 @@ def with_drop_probability(lexicon: DataFrame, t: float) -> DataFrame:
     return lexicon.join(F.broadcast(total)).withColumn("p_drop", drop_probability(F.col("freq"), F.col("total"), t))
 
 
-def subsample(tokens: DataFrame, lexicon: DataFrame, t: float, seed: int = 666) -> DataFrame:
-    """Tokens that stay; the draw hangs on the position, so a rerun repeats it."""
+def subsample(tokens: DataFrame, lexicon: DataFrame, t: float, seed: int = 666, at: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Tokens that stay; the draw hangs on ``at``, the columns of a position, so a rerun repeats it."""
     rated = with_drop_probability(lexicon, t).select("word", "p_drop")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "pos"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    draw = F.pmod(F.xxhash64(F.lit(seed), *at), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return tokens.join(rated, "word").filter(draw >= F.col("p_drop")).drop("p_drop")
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensespark.operators import huffman
+from sensespark.operators.lexicon import subsample
 
 #: Largest parameters that are broadcast.
 MAX_BYTES = 1 << 30
@@ -37,6 +38,8 @@ class Options:
     min_prob: float = 1e-3
     skip: float = 1e-10
     init_count: float = 0.0
+    #: Threshold above whose share words are dropped at random; none keeps all.
+    subsample: float | None = None
     partitions: int = 8
     seed: int = 666
 
@@ -112,7 +115,8 @@ def train(tokens: DataFrame, lexicon: DataFrame, options: Options) -> tuple[Stat
     freqs = np.array([r["freq"] for r in listed], np.float64)
     codes = [(np.array([n for n, _ in p], np.int64), np.array([c for _, c in p], np.float64)) for p in huffman.paths(freqs.astype(int).tolist())]
     state, means = initial(freqs, options), []
-    known = tokens.join(lexicon.select("word", "word_id"), "word")
+    kept = tokens if options.subsample is None else subsample(tokens, lexicon, options.subsample, options.seed, ("doc_id", "tok_ix"))
+    known = kept.join(lexicon.select("word", "word_id"), "word")
     docs = known.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("tok_ix", "word_id"))), lambda x: x["word_id"]).alias("words"))
     docs = docs.repartition(options.partitions, "doc_id").sortWithinPartitions("doc_id")
     total = int(freqs.sum()) * options.epochs

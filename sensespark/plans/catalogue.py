@@ -348,6 +348,14 @@ def sketch_eval(spark, sf_dir):
     return _round(senses.sketch_evaluation(rows, post), "mean", "sd", "rnk", digits=4)
 
 
+@query
+def sketch_sample(spark, sf_dir):
+    """The statistics over at most ten positions of each collocate."""
+    m, docs, _, _, post = _posterior(spark, sf_dir)
+    rows = lexicon.sample_positions(_head_sketches(docs, m), 10, ["head_id", "coll"])
+    return _round(senses.sketch_statistics(rows, post, fixtures.SENSES).drop("dist"), "mean", "sd", "rnk", digits=4)
+
+
 @query
 def sketch_overlap(spark, sf_dir):
     """Documents that two collocates of a head have in common."""

@@ -87,6 +87,34 @@ def test_labels_and_unscored_collocates(spark):
     assert senses.sketch_evaluation(rows, none).collect()[0].asDict() == {"mean": -1.0, "sd": -1.0, "head_id": 1, "coll": "c", "cnt": 2, "rnk": 1.0, "label": "h"}
 
 
+def test_sampled_sketches_are_statistics_of_ten_positions(spark):
+    m, docs, _, _, post = catalogue._posterior(spark, DATA)
+    sketches = catalogue._head_sketches(docs, m)
+    picked = lexicon.sample_positions(sketches, 10, ["head_id", "coll"]).toPandas()
+    every, by_pos = sketches.toPandas(), post.toPandas().groupby(["head_id", "at"])
+    shares = {key: g.set_index("sense")["p"] for key, g in by_pos}
+    got = {(r["head_id"], r["coll"]): r for r in catalogue.queries()["sketch_sample"](spark, DATA).collect()}
+    assert set(got) == set(zip(every["head_id"], every["coll"])) and every.groupby(["head_id", "coll"]).size().max() > 10
+    assert set(picked["pos"]) <= set(every["pos"])
+    for key, g in picked.groupby(["head_id", "coll"]):
+        means = pd.concat([shares[(key[0], p)] for p in g["pos"]], axis=1).mean(axis=1)
+        assert len(g) == min(10, (every["coll"][every["head_id"] == key[0]] == key[1]).sum()) == got[key]["n"]
+        assert got[key]["mean"] == pytest.approx(means.max(), abs=1e-4)
+
+
+def test_subsampling_drops_frequent_words_by_their_share(spark):
+    toks = spark.createDataFrame([(d, i, "often" if i < 90 else "rare") for d in range(100) for i in range(100)], "doc_id long, tok_ix int, word string")
+    words = spark.createDataFrame([(0, "often", 9000), (1, "rare", 1000)], "word_id long, word string, freq long")
+    at = ("doc_id", "tok_ix")
+    kept = lambda seed: lexicon.subsample(toks, words, 0.1, seed, at)
+    n = {r["word"]: r["count"] for r in kept(1).groupBy("word").count().collect()}
+    assert n["rare"] == 1000 and abs(n["often"] / 9000 - math.sqrt(0.1 / 0.9)) < 0.02
+    assert kept(1).exceptAll(kept(1)).count() == 0 and kept(1).exceptAll(kept(2)).count() > 0
+    options = dict(dim=4, senses=2, window=2, partitions=2)
+    whole, part = (training.train(toks, words, training.Options(**options, subsample=t))[1] for t in (None, 0.1))
+    assert whole != part
+
+
 def test_every_statement_has_its_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
