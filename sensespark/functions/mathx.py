@@ -98,10 +98,10 @@ def minigraph(values: Column, buckets: int = 8) -> Column:
 
 
 def parse_window(explicit: int | None, path: str, fallback: int) -> int:
-    """A window's width: as given, else from the first part ``w<n>`` of a model's name."""
+    """A window's width: as given, else from the first part ``w<n>``, 0 < n < 100, of a model's path, split at dots."""
     if explicit is not None:
         return explicit
-    for part in path.rsplit("/", 1)[-1].split("."):
+    for part in path.split("."):
         if part[:1] == "w" and part[1:].isdigit() and 0 < int(part[1:]) < 100:
             return int(part[1:])
     return fallback

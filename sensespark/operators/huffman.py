@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tree(freqs: list[int]) -> list[tuple[int, int]]:
@@ -46,3 +47,10 @@ def path_table(spark: SparkSession, lexicon: DataFrame) -> DataFrame:
     found = paths([r["freq"] for r in rows])
     flat = [(rows[w]["word_id"], d, n, c) for w, steps in enumerate(found) for d, (n, c) in enumerate(steps)]
     return spark.createDataFrame(flat, "word_id long, depth int, node_id long, code int")
+
+
+def dump(steps: DataFrame) -> DataFrame:
+    """(word_id, path): every word's path as ``node:code`` from the root on."""
+    ordered = F.sort_array(F.collect_list(F.struct("depth", "node_id", "code")))
+    path = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["node_id"].cast("string"), x["code"].cast("string"))), " ")
+    return steps.groupBy("word_id").agg(path.alias("path"))

@@ -79,7 +79,8 @@ def sense_similarities(senses: DataFrame, min_count: float = 5) -> DataFrame:
 def hierarchy(similarities: DataFrame) -> DataFrame:
     """(word, step, left, right, sim, least): merges by single linkage.
 
-    A word has at most as many senses as the model allows, so a group is small.
+    ``sim`` is the largest similarity across the two sides, ``least`` the
+    smallest of all pairs in the node that they make.  A word has at most as many senses as the model allows, so a group is small.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -88,22 +89,44 @@ def hierarchy(similarities: DataFrame) -> DataFrame:
         while len(nodes) > 1:
             pairs = [(i, j, [sim[x, y] for x in nodes[i] for y in nodes[j]]) for i in range(len(nodes)) for j in range(i)]
             i, j, found = max(pairs, key=lambda p: (max(p[2]), -p[0], -p[1]))
-            out.append((rows["word"].iloc[0], len(out), " ".join(map(str, nodes[i])), " ".join(map(str, nodes[j])), max(found), min(found)))
-            nodes = [n for k, n in enumerate(nodes) if k not in (i, j)] + [nodes[i] + nodes[j]]
+            both = nodes[i] + nodes[j]
+            least = min(sim[x, y] for x in both for y in both if x != y)
+            out.append((rows["word"].iloc[0], len(out), " ".join(map(str, nodes[i])), " ".join(map(str, nodes[j])), max(found), least))
+            nodes = [n for k, n in enumerate(nodes) if k not in (i, j)] + [both]
         return pd.DataFrame(out, columns=["word", "step", "left", "right", "sim", "least"])
 
     return similarities.groupBy("word").applyInPandas(run, "word string, step int, left string, right string, sim double, least double")
 
 
-def render_hierarchy(merges: list[tuple[str, str, float]]) -> str:
-    """The merges (left, right, least) of one word as an indented tree."""
-    trees: dict[str, list[str]] = {}
+def render_hierarchy(merges: list[tuple[str, str, float]], leaves: dict[str, str]) -> str:
+    """The merges (left, right, least) of one word as a tree, each level four blanks further in; ``leaves`` have what follows a sense."""
+    trees = {sense: [f"#{sense} {text}"] for sense, text in leaves.items()}
     for left, right, least in merges:
-        below = trees.pop(left, [f"#{left}"]) + trees.pop(right, [f"#{right}"])
-        trees[f"{left} {right}"] = [f"({least:.3f})", *("    " + line for line in below)]
+        below = trees.pop(left) + trees.pop(right)
+        trees[f"{left} {right}"] = [f"{least:.3f}d", *("    " + line for line in below)]
     return "\n".join(line for tree in trees.values() for line in tree)
 
 
+def trees(senses: DataFrame, near: DataFrame, min_count: float = 5) -> DataFrame:
+    """(word, tree): the senses' hierarchy in print, each sense with its neighbours of ``near``.
+
+    A word with one sense has a tree of that leaf, one without any has no row.
+    """
+    lines = near.groupBy("hw", "sn").agg(F.sort_array(F.collect_list(F.struct("rank", "nn", "nn_sn", "sim"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda y: F.format_string(" %s##%d/%.3f", y["nn"], y["nn_sn"], y["sim"])), "")
+    kept = senses.filter(F.col("cnt") >= min_count).select("word", "sense")
+    leaves = kept.join(lines.select(F.col("hw").alias("word"), F.col("sn").alias("sense"), text.alias("text")), ["word", "sense"], "left")
+    merges = hierarchy(sense_similarities(senses, min_count))
+
+    def run(mine: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        steps = steps.sort_values("step")
+        texts = {str(k): t or "" for k, t in sorted(zip(mine["sense"], mine["text"], strict=True))}
+        drawn = render_hierarchy(list(zip(steps["left"], steps["right"], steps["least"], strict=True)), texts)
+        return pd.DataFrame({"word": [mine["word"].iloc[0]], "tree": [drawn]})
+
+    return leaves.groupBy("word").cogroup(merges.groupBy("word")).applyInPandas(run, "word string, tree string")
+
+
 def export(senses: DataFrame, alpha: float, min_prob: float = 1e-3) -> DataFrame:
     """(row, key, prob, frq, vec): senses by whole count, largest first; ties in reverse order."""
     rows = expected_pi(senses, alpha).filter(F.col("pi") >= min_prob).withColumn("frq", F.floor("cnt").cast("long"))

@@ -50,6 +50,15 @@ class State:
     outer: np.ndarray
     counts: np.ndarray
 
+    @property
+    def meanings(self) -> int:
+        """Senses that each word has room for."""
+        return self.inner.shape[1]
+
+    def blank(self) -> np.ndarray:
+        """A score of 0 for each sense."""
+        return np.zeros(self.meanings)
+
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """For x > 0: recurrence up to 6, then the asymptotic series."""
@@ -88,11 +97,12 @@ def initial(freqs: np.ndarray, options: Options) -> State:
 
 def step(state: State, word: int, context: list[int], codes: list[tuple[np.ndarray, np.ndarray]], freq: float, rate: float, options: Options) -> float:
     """One token: responsibilities of senses, then gradients; returns the log-likelihood."""
-    z = training_prior(state.counts[word], options.alpha)
+    score = state.blank()
     own = state.inner[word]
     ahead = [(codes[y][0], own @ state.outer[codes[y][0]].T, codes[y][1]) for y in context]
     for _, dots, code in ahead:
-        z = z - np.logaddexp(0, -(1 - 2 * code) * dots).sum(axis=1)
+        score -= np.logaddexp(0, -(1 - 2 * code) * dots).sum(axis=1)
+    z = training_prior(state.counts[word], options.alpha) + score
     top = z.max()
     weight = np.exp(z - top)
     likelihood = float(top + np.log(weight.sum()))
@@ -163,5 +173,5 @@ def train(tokens: DataFrame, lexicon: DataFrame, options: Options) -> tuple[Stat
 
 def sense_table(tokens: DataFrame, state: State, lexicon: DataFrame) -> DataFrame:
     """(word_id, sense, cnt, vec) of a trained state."""
-    rows = [(w, k, float(state.counts[w, k]), state.inner[w, k].astype(float).tolist()) for w in range(state.counts.shape[0]) for k in range(state.counts.shape[1])]
+    rows = [(w, k, float(state.counts[w, k]), state.inner[w, k].astype(float).tolist()) for w in range(len(state.counts)) for k in range(state.meanings)]
     return tokens.sparkSession.createDataFrame(rows, "word_id long, sense int, cnt double, vec array<double>").join(lexicon.select("word_id", "word"), "word_id")

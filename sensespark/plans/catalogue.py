@@ -376,6 +376,24 @@ def sense_hierarchy(spark, sf_dir):
     return model.hierarchy(model.sense_similarities(fixtures.model(spark, sf_dir).senses))
 
 
+@query
+def sense_tree(spark, sf_dir):
+    m = fixtures.model(spark, sf_dir)
+    return model.trees(_head_senses(m), _nearest(spark, sf_dir))
+
+
+@query
+def huffman_dump(spark, sf_dir):
+    # The fixture's tree is a heap, whose nodes are numbered by depth.
+    return huffman.dump(fixtures.model(spark, sf_dir).paths.withColumn("depth", F.col("node_id")))
+
+
+@query
+def range_scan(spark, sf_dir):
+    """A stretch of the corpus: the positions of its second to fifth thousand."""
+    return corpus.scan(_placed(spark, sf_dir)[0], 1000, 5000).select("pos", "doc_id", "word")
+
+
 @query
 def huffman_codes(spark, sf_dir):
     return huffman.path_table(spark, fixtures.model(spark, sf_dir).lexicon)

@@ -100,6 +100,8 @@ _EACH = {
     "context_window_train": "n AS (SELECT doc_id, word_id, row_number() OVER (PARTITION BY doc_id ORDER BY tok_ix) - 1 AS i FROM tok JOIN lex USING (word)), s AS (SELECT doc_id, i, word_id, unnest(range(-4, 4))::INT AS delta FROM n), q AS (SELECT s.word_id, n.word_id AS ctx_id, delta, count(*) AS n FROM s JOIN n ON n.doc_id = s.doc_id AND n.i = s.i + delta WHERE delta <> 0 GROUP BY ALL)",
     "pair_score": "q AS (SELECT head_id, ctx_id, sense, round(score, 6) AS score FROM scores WHERE head_id IN (6, 19, 50))",
     "pair_score_fast": "c AS (SELECT *, (x + 8) * 4095 / 16 AS t, least(floor((x + 8) * 4095 / 16), 4094) AS i FROM steps WHERE head_id IN (6, 19, 50)), e AS (SELECT *, -ln(1 + exp(8 - i * 16 / 4095)) AS a, -ln(1 + exp(8 - (i + 1) * 16 / 4095)) AS b FROM c), q AS (SELECT head_id, ctx_id, sense, round(sum(CASE WHEN x >= 8 THEN 0 WHEN x <= -8 THEN x ELSE a + (b - a) * (t - i) END), 6) AS score FROM e GROUP BY ALL)",
+    "huffman_dump": "q AS (SELECT word_id, string_agg(node_id || ':' || code, ' ' ORDER BY node_id) AS path FROM hs GROUP BY 1)",
+    "range_scan": "q AS (SELECT pos, doc_id, word FROM tok WHERE pos >= 1000 AND pos < 5000)",
     "posterior": "q AS (SELECT apos AS pos, head_id, sense, round(p, 6) AS p FROM post)",
     "desamb_status": "q AS (SELECT status, count(*) AS n FROM cstat GROUP BY 1)",
     "desamb_rows": "b AS (SELECT row_id, sense, round(p, 9) AS p FROM cpost QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(p, 9) DESC, sense DESC) = 1), q AS (SELECT c.row_id, status, 'c' || sense AS cluster, round(p, 6) AS p FROM cstat c LEFT JOIN b USING (row_id))",

@@ -69,6 +69,12 @@ def placed_tokens(docs: DataFrame) -> DataFrame:
     return rows.select((F.col("beg") + F.col("tok_ix")).alias("pos"), "doc_id", "lang", "source", "tok_ix", "word")
 
 
+def scan(docs: DataFrame, beg: int, end: int) -> DataFrame:
+    """``tokens`` with beg <= pos < end of documents that have ``beg``; documents outside are not exploded."""
+    touched = docs.filter((F.col("beg") < end) & (F.col("beg") + F.size("words") > beg))
+    return placed_tokens(touched).filter((F.col("pos") >= beg) & (F.col("pos") < end))
+
+
 def within_ranges(positions: DataFrame, ranges: DataFrame, block: int = 8192, semi: bool = False) -> DataFrame:
     """Rows of ``positions`` whose pos is in a range [beg, end), with the range's columns.
 

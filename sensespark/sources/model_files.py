@@ -8,8 +8,10 @@ vocabulary bounds, and are written by the driver.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterable
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +48,9 @@ def write_model(path: str, words: list[str], freqs: np.ndarray, paths: list[list
 def read_model(path: str, malformed: bool = False) -> dict:
     """The arrays of a model file; senses that it lacks have no entry in ``inner``.
 
-    With ``malformed`` a sense number out of range ends its word instead of
-    failing.
+    With ``malformed`` the number of senses that a word states is not believed,
+    since some writers stated another than they stored: what follows decides
+    (``_sense_follows``), and a word of any number of senses is read whole.
     """
     with open(path, "rb") as data:
         size, dim, senses = map(int, data.readline().split())
@@ -62,19 +65,34 @@ def read_model(path: str, malformed: bool = False) -> dict:
         counts, outer, words, inner = array("<f4", size, senses), array("<f4", size, dim), [], {}
         for w in range(size):
             words.append(data.readline().rstrip(b"\n").decode())
-            for _ in range(int(data.readline())):
+            stated, stored, k = int(data.readline()), 0, -1
+            while _sense_follows(data, k, senses, dim) if malformed else stored < stated:
                 k = int(data.readline()) - 1
                 if not 0 <= k < senses:
-                    if malformed:
-                        break
                     raise ValueError(f"sense {k + 1} of {words[-1]!r} is out of range")
                 inner[w, k] = np.frombuffer(data.read(4 * dim), "<f4")
                 data.read(1)
+                stored += 1
         extra = data.readline().decode().strip().removeprefix("extrainfo:")
     paths = [[(int(n), int(c)) for n, c in zip(nodes[w], codes[w], strict=True) if c != END_OF_CODE] for w in range(size)]
     return {"words": words, "freqs": freqs, "paths": paths, "counts": counts, "outer": outer, "inner": inner, "alpha": alpha, "dim": dim, "senses": senses, "extra": extra}
 
 
+def _sense_follows(data: BinaryIO, last: int, senses: int, dim: int) -> bool:
+    """Whether a sense after number ``last`` comes next, and no word; the position stays.
+
+    A sense is a number in range and above the last, a vector, and a line end.
+    A word may be a number too: then two short numbers follow, its count and
+    its first sense, where a vector would stand.
+    """
+    at = data.tell()
+    number, body = data.readline().strip(), data.read(4 * dim + 1)
+    data.seek(at)
+    if not number.isdigit() or not last < int(number) - 1 < senses:
+        return False
+    return body[4 * dim :] == b"\n" and not re.match(rb"[1-9][0-9]?\n[1-9][0-9]?\n", body)
+
+
 def model_tables(spark: SparkSession, model: dict) -> dict[str, DataFrame]:
     """The tables lexicon, senses, nodes and hs_path of a model that was read."""
     words, counts = model["words"], model["counts"]
@@ -126,10 +144,10 @@ def write_minigraphs(rows: DataFrame, path: str) -> None:
     _sink(path, MINIGRAPHS, (struct.pack("<II", r[0], r[1]) for r in rows.orderBy("word_id").toLocalIterator()))
 
 
-def read_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Tab-separated rows with the named columns, nothing quoted."""
+def read_lines(spark: SparkSession, path: str, columns: list[str], header: bool = False) -> DataFrame:
+    """Tab-separated rows with the named columns, nothing quoted; a header is left out whatever it names."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(path)
+    return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("header", header).option("enforceSchema", True).csv(path)
 
 
 def write_lines(rows: DataFrame, path: str, header: bool = True) -> None:

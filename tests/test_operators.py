@@ -32,7 +32,7 @@ def rows(df):
     return sorted((tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", ["lexicon_topk", "hit_type_marginals", "epoch_natural_order", "trend_theil_sen", "trend_minigraph", "nearest_long", "model_export", "context_window_infer", "pair_score", "pair_score_fast", "kwic_glue", "desamb_rows", "desamb_table", "sketch_eval", "sketch_overlap"])
+@pytest.mark.parametrize("name", ["lexicon_topk", "hit_type_marginals", "epoch_natural_order", "trend_theil_sen", "trend_minigraph", "nearest_long", "model_export", "context_window_infer", "pair_score", "pair_score_fast", "kwic_glue", "desamb_rows", "desamb_table", "sketch_eval", "sketch_overlap", "huffman_dump", "range_scan"])
 def test_query_agrees_with_sql(spark, con, name):
     got = catalogue.queries()[name](spark, DATA).toPandas()
     assert rows(got) == rows(con.execute(catalogue.oracle_sql()[name]).df())
@@ -152,6 +152,7 @@ def test_digamma_and_p_values(spark):
 
 
 def test_training_separates_planted_senses(spark):
+    """A word between two circles of words gets a sense in each, told apart by their words alone."""
     rng = np.random.default_rng(1)
     docs = []
     for i in range(240):
@@ -159,9 +160,169 @@ def test_training_separates_planted_senses(spark):
         docs += [(i, t, w) for t, w in enumerate([x for y in side for x in (y, "amb")])]
     toks = spark.createDataFrame(docs, "doc_id long, tok_ix int, word string")
     words = lexicon.ranked_lexicon(toks)
-    state, means = training.train(toks, words, training.Options(dim=8, senses=3, window=2, epochs=3, rate=0.1, partitions=2))
-    assert len(means) == 3 and means[-1] > means[0]
-    assert np.isfinite(state.inner).all()
+    options = training.Options(dim=8, senses=3, window=2, epochs=6, rate=0.1, alpha=1.0, partitions=2)
+    state, means = training.train(toks, words, options)
+    assert len(means) == 6 and means[-1] > means[0]
+    listed = words.orderBy("word_id").collect()
+    ids = {r["word"]: r["word_id"] for r in listed}
+    codes = huffman.paths([r["freq"] for r in listed])
+
+    def best(context_words):
+        z = training.training_prior(state.counts[ids["amb"]], options.alpha)
+        for word in context_words:
+            for node, code in codes[ids[word]]:
+                z = z - np.logaddexp(0, -(1 - 2 * code) * (state.inner[ids["amb"]] @ state.outer[node]))
+        return int(z.argmax())
+
+    found = {side: [best([f"{side}{i}", f"{side}{j}"]) for i in range(4) for j in range(4)] for side in "ab"}
+    modes = {side: max(set(x), key=x.count) for side, x in found.items()}
+    assert modes["a"] != modes["b"]
+    assert all(found[side].count(modes[side]) >= 14 for side in "ab")
+
+
+def test_a_step_is_that_of_plain_loops():
+    rng = np.random.default_rng(5)
+    codes = [(np.array([n for n, _ in p]), np.array([c for _, c in p], float)) for p in huffman.paths([9, 5, 4, 2])]
+    options = training.Options(dim=3, senses=2, alpha=0.5, skip=0.05)
+    inner, outer, counts = rng.normal(size=(4, 2, 3)), rng.normal(size=(4, 3)), np.array([[6.0, 3.0]] * 4)
+    state = training.State(inner.copy(), outer.copy(), counts.copy())
+    training.step(state, 1, [0, 2, 0], codes, 5.0, 0.1, options)
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+    psi = lambda x: float(training.digamma(np.array([float(x)]))[0])
+    # Two senses: E[ln v] and E[ln (1 - v)] of v ~ Beta(1 + 6, 0.5 + 3).
+    z = [psi(7) - psi(10.5), psi(3.5) - psi(10.5)]
+    for y in (0, 2, 0):
+        for node, code in zip(*codes[y], strict=True):
+            for k in range(2):
+                z[k] += math.log(sigma((1 - 2 * code) * sum(inner[1, k] * outer[node])))
+    w = [math.exp(x) / sum(map(math.exp, z)) for x in z]
+    for y in (0, 2, 0):
+        grad = np.zeros((2, 3))
+        for node, code in zip(*codes[y], strict=True):
+            out = np.zeros(3)
+            for k in range(2):
+                if w[k] >= options.skip:
+                    g = w[k] * 0.1 * (1 - code - sigma(inner[1, k] @ outer[node]))
+                    grad[k] += g * outer[node]
+                    out += g * inner[1, k]
+            outer[node] += out
+        inner[1] += grad
+    counts[1] += [0.1 * (w[k] * 5 - counts[1, k]) for k in range(2)]
+    assert np.allclose(state.inner, inner) and np.allclose(state.outer, outer) and np.allclose(state.counts, counts)
+    assert state.meanings == 2 and state.blank().tolist() == [0.0, 0.0]
+
+
+def test_learning_rate_falls_to_a_floor():
+    assert training.learning_rate(0.5, 0, 99) == 0.5 and training.learning_rate(0.5, 50, 99) == 0.25
+    assert training.learning_rate(0.5, 100, 99) == training.learning_rate(0.5, 500, 99) == 0.5e-4
+
+
+def test_first_counts_are_on_the_first_sense():
+    for given, want in ((0.0, [4.0, 2.0]), (7.0, [7.0, 7.0])):
+        got = training.initial(np.array([4.0, 2.0]), training.Options(dim=2, senses=3, init_count=given)).counts
+        assert got.tolist() == [[x, 0.0, 0.0] for x in want]
+
+
+def test_beta_expectations(spark):
+    a, b = F.lit(3.0), F.lit(5.0)
+    got = spark.range(1).select(mathx.beta_mean(a, b), mathx.expected_log_beta(a, b), mathx.expected_log_beta(b, a)).collect()[0]
+    x = (np.arange(200000) + 0.5) / 200000
+    density = 105 * x**2 * (1 - x) ** 4
+    assert np.allclose(list(got), [(density * x).mean(), (density * np.log(x)).mean(), (density * np.log(1 - x)).mean()], atol=1e-6)
+
+
+def test_widths_in_names():
+    assert mathx.parse_window(7, "m.w5", 4) == 7
+    assert [mathx.parse_window(None, p, 4) for p in ("m.w5.bin", "m.w0.w12", "m.w100", "w3", "a/w3", "m.wx.w6", "dir.w8/m")] == [5, 12, 4, 3, 4, 6, 4]
+
+
+def test_compatible_prior_and_early_exclusion(spark):
+    df = spark.createDataFrame([(0, "x", k, c, v) for k, (c, v) in enumerate([(500.0, [1.0, 0.0]), (300.0, [0.9, 0.1]), (0.0, [0.0, 1.0]), (0.0, [0.0, 1.0])])], "word_id long, word string, sense int, cnt double, vec array<double>")
+    pis = {r["sense"]: r["pi"] for r in model.expected_pi(df, 0.1).collect()}
+    on = [k for k in range(4) if pis[k] >= 1e-3]
+    got = {r["sense"]: r["log_prior"] for r in model.uniform_prior(df, 0.1, compat=True).collect()}
+    assert 0 < len(on) < 4 and got == {k: 1 / len(on) if k in on else 0.0 for k in range(4)}
+    pool = df.unionByName(spark.createDataFrame([(1, "y", 0, 9.0, [0.5, 0.5]), (2, "z", 0, 9.0, [0.1, 0.9])], df.schema))
+    names = lambda early: [r["nn"] for r in model.nearest(df.filter("sense = 0"), pool, 2, early).orderBy("rank").collect()]
+    # Of the three best, two are the head's own.
+    assert names(False) == ["y"] and names(True) == ["y", "z"]
+
+
+def _chain(spark):
+    """Four senses: 0-1-2 chain by their neighbours' likeness, 3 joins last."""
+    sim = {(0, 1): 0.9, (1, 2): 0.8, (0, 2): -0.5, (0, 3): 0.7, (1, 3): 0.75, (2, 3): 0.7}
+    return spark.createDataFrame([("w", a, b, s) for (i, j), s in sim.items() for a, b in ((i, j), (j, i))], "word string, a int, b int, sim double")
+
+
+def test_hierarchy_has_the_least_of_whole_nodes(spark):
+    got = [(r["left"], r["right"], r["sim"], r["least"]) for r in model.hierarchy(_chain(spark)).orderBy("step").collect()]
+    assert got == [("1", "0", 0.9, 0.9), ("1 0", "2", 0.8, -0.5), ("1 0 2", "3", 0.75, -0.5)]
+
+
+def test_trees_in_print(spark):
+    at = lambda d: [math.cos(d), math.sin(d)]
+    rows = [(0, "w", 0, 9.0, at(0.0)), (0, "w", 1, 9.0, at(0.1)), (0, "w", 2, 9.0, at(1.0)), (0, "w", 3, 1.0, at(2.0)), (1, "v", 0, 9.0, at(1.1)), (2, "u", 0, 1.0, at(3.0))]
+    df = spark.createDataFrame(rows, "word_id long, word string, sense int, cnt double, vec array<double>")
+    near = spark.createDataFrame([("w", 2, 0.995, "v", 0, 1), ("w", 2, 0.5, "u", 0, 2)], "hw string, sn int, sim double, nn string, nn_sn int, rank long")
+    got = {r["word"]: r["tree"].split("\n") for r in model.trees(df, near).collect()}
+    assert got["v"] == ["#0 "] and set(got) == {"v", "w"}
+    c = lambda d: f"{math.cos(d):.3f}d"
+    assert got["w"] == [c(1.0), "    " + c(0.1), "        #1 ", "        #0 ", "    #2  v##0/0.995 u##0/0.500"]
+
+
+def test_paths_in_print(spark):
+    listed = spark.createDataFrame([(i, f) for i, f in enumerate([4, 2, 1])], "word_id long, freq long")
+    got = {r["word_id"]: r["path"] for r in huffman.dump(huffman.path_table(spark, listed)).collect()}
+    assert got == {w: " ".join(f"{n}:{c}" for n, c in p) for w, p in enumerate(huffman.paths([4, 2, 1]))}
+
+
+def test_malformed_models_are_read_by_what_follows(tmp_path):
+    """Counts that writers state wrongly, and words that are numbers."""
+    words, dim = ["x", "7", "2", "2", "end"], 2
+    paths = huffman.paths([5, 4, 3, 2, 1])
+    pi = np.array([[1, 1, 0], [1, 0, 0], [0, 1, 1], [1, 1, 1], [1, 0, 1]], float)
+    inner = np.arange(5 * 3 * dim, dtype=np.float32).reshape(5, 3, dim)
+    path = str(tmp_path / "m")
+    model_files.write_model(path, words, np.array([5, 4, 3, 2, 1]), paths, np.ones((5, 3)), inner, np.ones((5, dim)), 0.1, pi)
+    right = model_files.read_model(path)
+    data = open(path, "rb").read()
+    assert data.count(b"x\n2\n1\n") == 1 and data.count(b"end\n2\n1\n") == 1
+    for stated in (b"1", b"3"):
+        open(path, "wb").write(data.replace(b"x\n2\n1\n", b"x\n" + stated + b"\n1\n").replace(b"end\n2\n1\n", b"end\n" + stated + b"\n1\n"))
+        got = model_files.read_model(path, malformed=True)
+        assert got["words"] == words and got["inner"].keys() == right["inner"].keys()
+        assert all(np.array_equal(got["inner"][k], v) for k, v in right["inner"].items())
+        with pytest.raises(ValueError):
+            model_files.read_model(path)
+
+
+def test_a_scan_explodes_the_documents_it_touches(spark):
+    docs = spark.createDataFrame([(0, "de", "s", ["a", "b"]), (1, "de", "s", ["c"] * 5), (2, "en", "t", ["d", "e"])], "doc_id long, lang string, source string, words array<string>")
+    placed = corpus.placed(docs)[0]
+    for beg, end in ((0, 9), (1, 3), (7, 8), (2, 7), (4, 4), (9, 20)):
+        got = sorted(r["pos"] for r in corpus.scan(placed, beg, end).collect())
+        assert got == list(range(beg, min(end, 9)))
+
+
+def test_p_values_are_areas(spark):
+    """Student's t by its density's area, Mann-Kendall's by pairs and ties."""
+    rng = np.random.default_rng(3)
+    series = {w: np.round(rng.normal(size=n) + np.arange(n) * k, 1) for w, n, k in (("a", 6, 0.2), ("b", 9, 0.0), ("c", 12, -0.1))}
+    df = spark.createDataFrame([(w, i, float(y), float(y)) for w, ys in series.items() for i, y in enumerate(ys)], "word string, epoch_no long, rel double, normed double")
+    got = {r["word"]: r for r in trends.significance(df).collect()}
+    for w, y in series.items():
+        n = len(y)
+        x = np.arange(n)
+        slope, cut = np.polyfit(x, y, 1)
+        t = slope / math.sqrt(((y - slope * x - cut) ** 2).sum() / (n - 2) / ((x - x.mean()) ** 2).sum())
+        v = n - 2
+        grid = np.linspace(-abs(t), abs(t), 200001)
+        density = math.gamma((v + 1) / 2) / math.sqrt(v * math.pi) / math.gamma(v / 2) * (1 + grid**2 / v) ** (-(v + 1) / 2)
+        assert got[w]["p_linear"] == pytest.approx(1 - np.trapezoid(density, grid), abs=1e-6)
+        s = sum(np.sign(y[j] - y[i]) for i in range(n) for j in range(i + 1, n))
+        tied = [list(y).count(u) for u in set(y)]
+        var = (n * (n - 1) * (2 * n + 5) - sum(g * (g - 1) * (2 * g + 5) for g in tied)) / 18
+        assert got[w]["p_mk"] == pytest.approx(math.erfc(max(abs(s) - 1, 0) / math.sqrt(2 * var)), abs=1e-9)
 
 
 def test_training_query_has_the_whole_lexicon(spark):
@@ -171,9 +332,13 @@ def test_training_query_has_the_whole_lexicon(spark):
 
 
 def test_sampler_is_even(spark):
-    occ = spark.range(2000).select(F.lit("w").alias("hw"), F.col("id").alias("pos"))
-    picked = [r["pos"] for r in lexicon.sample_positions(occ, 1000, ["hw"]).collect()]
-    assert len(picked) == 1000 and 350 < sum(p < 1000 for p in picked) < 650
+    """Five of fifty positions, 20,000 times: each is taken at a rate of 0.1."""
+    occ = spark.range(20000).select(F.col("id").alias("hw"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("pos"))
+    picked = lexicon.sample_positions(occ, 5, ["hw"]).groupBy("pos").count().toPandas()
+    n = picked["count"].to_numpy()
+    assert len(n) == 50 and n.sum() == 100000
+    # The 0.9999 quantile of chi-squared with 49 degrees of freedom is 93.
+    assert ((n - 2000) ** 2 / (2000 * 0.9)).sum() < 93
 
 
 def test_model_file_round_trip(tmp_path):
@@ -228,7 +393,10 @@ def test_vectors_are_padded_and_normalised(spark, tmp_path):
 def test_lines_keep_quotes(spark, tmp_path):
     rows = spark.createDataFrame([('say "x', "a b"), ("y", "c")], "head string, context string")
     model_files.write_lines(rows, str(tmp_path / "l"), header=False)
-    assert sorted(map(tuple, model_files.read_lines(spark, str(tmp_path / "l"), ["head", "context"]).collect())) == [('say "x', "a b"), ("y", "c")]
+    want = [('say "x', "a b"), ("y", "c")]
+    assert sorted(map(tuple, model_files.read_lines(spark, str(tmp_path / "l"), ["head", "context"]).collect())) == want
+    model_files.write_lines(rows, str(tmp_path / "l"))
+    assert sorted(map(tuple, model_files.read_lines(spark, str(tmp_path / "l"), ["h", "c"], header=True).collect())) == want
 
 
 def test_model_tables_of_a_file(spark, tmp_path):
