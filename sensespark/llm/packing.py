@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import handing_back, materialise
 
 CAPACITY = 2048
 GROUP_PIECES = 8192
@@ -112,17 +112,17 @@ def token_pieces(
         encode = _document_tokenizer(vocabulary)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py() or "") + end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
-                    rows.append((doc, at // 4, len(part) // 4, len(ids) // 4, zlib.crc32(part), part))
+                    rows.append((doc, at // 4, len(part) // 4, len(ids) // 4, zlib.crc32(part), part if with_ids else None))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(handing_back(cut), _PIECES + ", ids binary" * with_ids)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

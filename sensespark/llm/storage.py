@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensespark.sources.store import fresh_path, materialise, work_dir
 
-__all__ = ["BROADCAST_ROWS", "fresh_path", "materialise", "open_filesystem", "read_table", "within", "work_dir"]
+__all__ = ["BROADCAST_ROWS", "fresh_path", "handing_back", "materialise", "open_filesystem", "read_table", "within", "work_dir"]
 
 #: Rows of a few numbers each that may be broadcast: some ten MB.
 BROADCAST_ROWS = 1 << 18
@@ -28,3 +31,26 @@ def open_filesystem(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def handing_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` whose worker returns freed memory when a partition ends.
+
+    Workers stay idle for a minute after a task, beside the tasks of other
+    steps; without this each keeps some 100 MB that it has no use for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _release()
+
+    return run
+
+
+def _release() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
