@@ -598,3 +598,16 @@ def test_toxicity_fit_sees_numbers_and_not_texts(spark):
     docs = spark.createDataFrame([(i, ("awful " if i % 2 else "fine ") * 50_000 if i < 4 else prose(i, 30) + " awful" * (i % 2), i % 2) for i in range(80)], "doc_id long, text string, toxic int")
     weight, _ = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), features=64)
     assert 0 < np.count_nonzero(weight) <= 64
+
+
+def test_workers_hand_memory_back_behind_their_last_batch(spark, monkeypatch):
+    from sensespark.llm import storage
+
+    seen = []
+    monkeypatch.setattr(storage, "_release", lambda: seen.append("released"))
+    work = storage.handing_back(lambda batches: (seen.append(b) or b for b in batches))
+    assert list(work(iter([1, 2]))) == [1, 2] and seen == [1, 2, "released"]
+    monkeypatch.undo()
+    assert list(storage.handing_back(iter)([])) == []
+    df = spark.range(100, numPartitions=3)
+    assert sorted(r[0] for r in df.mapInArrow(storage.handing_back(lambda batches: batches), "id long").collect()) == list(range(100))
