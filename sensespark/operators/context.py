@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensespark.functions import mathx
-from sensespark.sources.store import materialise
+from sensespark.sources import corpus
+from sensespark.sources.store import few, materialise, small
 
 
 #: Positions whose tokens are kept or left together before a band join.
@@ -22,28 +23,91 @@ def band(occ: DataFrame, tokens: DataFrame, left: int, right: int, by_doc: bool
     """Tokens from ``left`` before to ``right`` after each occurrence, with delta.
 
     A band join as an equi-join: an occurrence is listed under each position.
-    ``occ`` is read twice, so it is best a written table.
+    ``occ`` is read twice, so it is best a written table.  Sizes of exploded
+    rows are estimated as if they were not, so the joins are told not to
+    broadcast them.
     """
     offsets = F.expr(f"filter(sequence({-left}, {right}), d -> d <> 0)")
     spread = occ.select("head_id", "hw", F.col("pos").alias("at"), F.col("doc_id").alias("at_doc"), F.explode(offsets).alias("delta"))
     spread = spread.withColumn("pos", F.col("at") + F.col("delta"))
     # Tokens of stretches without an occurrence leave before the shuffle.
     touched = spread.select(F.floor(F.col("pos") / STRETCH).alias("stretch")).distinct()
-    near = tokens.select("pos", "word", "doc_id", F.floor(F.col("pos") / STRETCH).alias("stretch")).join(touched, "stretch", "left_semi").drop("stretch")
-    found = spread.join(near, "pos")
+    near = tokens.select("pos", "word", "doc_id", F.floor(F.col("pos") / STRETCH).alias("stretch")).join(touched.hint("merge"), "stretch", "left_semi").drop("stretch")
+    found = spread.hint("merge").join(near, "pos")
     return found.filter("doc_id = at_doc") if by_doc else found
 
 
-def inference_window(occ: DataFrame, tokens: DataFrame, lexicon: DataFrame, window: int) -> DataFrame:
+def surrounded(docs: DataFrame, begins: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """``occurrences`` with left and right, up to ``n`` tokens on either side, and starts, the positions among them at which a document begins.
+
+    ``docs`` has words; ``begins`` are their ``structures`` with an edge of
+    ``n``.  Tokens of the same document are cut from its words as they are
+    read, so that only occurrences are shuffled.  Contexts go on across
+    document borders: what is missing there is among the documents' edges.
+    """
+    if not few(heads):
+        toks = corpus.placed_tokens(docs.join(begins.select("doc_id", "beg"), "doc_id"))
+        return _gathered(materialise(occurrences(toks, heads), "occurrences"), toks, n, begins.select(F.col("beg").alias("pos")))
+    listed = F.broadcast(heads.select("head_id", F.col("hw").alias("word")))
+    hits = docs.select("doc_id", "lang", "source", "words", F.posexplode("words").alias("i", "word")).join(listed, "word")
+    left = F.slice("words", F.greatest(F.col("i") - n + 1, F.lit(1)), F.least(F.col("i"), F.lit(n)))
+    cut = hits.select("head_id", F.col("word").alias("hw"), "i", "doc_id", "lang", "source", left.alias("left"), F.slice("words", F.col("i") + 2, F.lit(n)).alias("right"))
+    pos = F.col("beg") + F.col("i")
+    starts = F.when(F.col("i") <= n, F.array("beg")).otherwise(F.array().cast("array<bigint>"))
+    rows = cut.join(begins.select("doc_id", "beg"), "doc_id").select("head_id", "hw", pos.alias("pos"), "doc_id", "lang", "source", "left", "right", starts.alias("starts"))
+    rows = materialise(rows.withColumn("open", (F.size("left") < n) | (F.size("right") < n)), "cut-occurrences")
+    lacking = F.expr(f"filter(sequence(pos - {n}, pos + {n}), x -> x < pos - size(left) or x > pos + size(right))")
+    wanted = rows.filter("open").select(F.col("pos").alias("at"), "left", "right", "pos").distinct().select("at", F.explode(lacking).alias("pos"))
+    # Both sides are exploded, which estimates of size leave out: never a broadcast.
+    near = wanted.hint("merge").join(corpus.edge_tokens(begins), "pos")
+    more = near.groupBy("at").agg(*_sides(F.col("pos") < F.col("at"), F.col("pos") > F.col("at"), "pos"), F.collect_list(F.when(F.col("starts"), F.col("pos"))).alias("__starts"))
+    wide = rows.filter("open").join(more.withColumnRenamed("at", "pos"), "pos", "left")
+    both = lambda a, b: F.concat(*[F.coalesce(F.col(c), F.array()) for c in (a, b)])
+    wide = wide.select("head_id", "hw", "pos", "doc_id", "lang", "source", both("__left", "left").alias("left"), both("right", "__right").alias("right"), both("starts", "__starts").alias("starts"))
+    return rows.filter("not open").drop("open").unionByName(materialise(wide, "border-occurrences"))
+
+
+def _sides(before: Column, after: Column, order: str) -> list[Column]:
+    """Aggregates __left and __right: a group's words on either side, by ``order``."""
+    listed = [F.sort_array(F.collect_list(F.when(side, F.struct(order, "word")))) for side in (before, after)]
+    return [F.transform(x, lambda y: y["word"]).alias(name) for x, name in zip(listed, ("__left", "__right"), strict=True)]
+
+
+def _gathered(occ: DataFrame, tokens: DataFrame, n: int, glue: DataFrame | None) -> DataFrame:
+    """What ``surrounded`` gives, from tokens with positions; starts are those of ``glue`` (pos)."""
+    around = band(occ, tokens, n, n).groupBy("hw", F.col("at").alias("pos")).agg(*_sides(F.col("delta") < 0, F.col("delta") > 0, "delta"))
+    # A corpus of one token has an occurrence without neighbours.
+    found = occ.join(around, ["hw", "pos"], "left")
+    blank = F.array().cast("array<string>")
+    found = found.withColumn("left", F.coalesce("__left", blank)).withColumn("right", F.coalesce("__right", blank)).drop("__left", "__right")
+    if glue is None:
+        return found.withColumn("starts", F.array().cast("array<bigint>"))
+    spread = occ.select(F.col("pos").alias("at")).distinct().select("at", F.explode(F.sequence(F.col("at") - n, F.col("at") + n)).alias("pos"))
+    marks = spread.hint("merge").join(glue.select("pos").distinct(), "pos").groupBy(F.col("at").alias("pos")).agg(F.collect_list("pos").alias("starts"))
+    return found.join(marks, "pos", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<bigint>")))
+
+
+def inference_window(occ: DataFrame, tokens: DataFrame | None, lexicon: DataFrame, window: int) -> DataFrame:
     """(head_id, hw, at, delta, ctx_id): the first ``window`` known words on each side.
 
     They are looked for among twice as many tokens, across document borders.
+    Without ``tokens`` they are those of ``surrounded`` occurrences.
     """
-    known = band(occ, tokens, 2 * window, 2 * window).join(lexicon.select("word", F.col("word_id").alias("ctx_id")), "word")
+    listed = lexicon.select("word", F.col("word_id").alias("ctx_id"))
+    near = _spread(occ, 2 * window) if tokens is None else band(occ, tokens, 2 * window, 2 * window)
+    known = near.join(small(listed), "word")
     side = Window.partitionBy("head_id", "at", F.col("delta") > 0).orderBy(F.abs("delta"))
     return known.withColumn("r", F.row_number().over(side)).filter(F.col("r") <= window).select("head_id", "hw", "at", "delta", "ctx_id")
 
 
+def _spread(occ: DataFrame, n: int) -> DataFrame:
+    """(head_id, hw, at, delta, word): up to ``n`` tokens on either side of ``surrounded`` occurrences."""
+    left = F.transform("left", lambda w, i: F.struct((i - F.size("left")).alias("delta"), w.alias("word")))
+    right = F.transform("right", lambda w, i: F.struct((i + 1).alias("delta"), w.alias("word")))
+    rows = occ.select("head_id", "hw", F.col("pos").alias("at"), F.explode(F.concat(left, right)).alias("x"))
+    return rows.select("head_id", "hw", "at", "x.delta", "x.word").filter(F.abs("delta") <= n)
+
+
 def training_window(tokens: DataFrame, lexicon: DataFrame, window: int) -> DataFrame:
     """(doc_id, i, word_id, ctx_id, delta): known words only, ``window`` before and one less after, within documents."""
     known = tokens.join(lexicon.select("word", "word_id"), "word")
@@ -54,39 +118,27 @@ def training_window(tokens: DataFrame, lexicon: DataFrame, window: int) -> DataF
     return spread.join(others, ["doc_id", "k"]).select("doc_id", "i", "word_id", "ctx_id", "delta")
 
 
-def kwic(occ: DataFrame, tokens: DataFrame, n: int, glue: DataFrame | None = None) -> DataFrame:
+def kwic(occ: DataFrame, tokens: DataFrame | None, n: int, glue: DataFrame | None = None, glued: bool = False) -> DataFrame:
     """(hw, pos, lctx, kw, rctx): n tokens on either side of each occurrence.
 
     Tokens are parted by blanks.  With ``glue`` (pos: where a glue begins) no
     blank stands before such a token, and the blanks beside the keyword are
     written too, at the end of lctx and the start of rctx, so that the three
-    parts together are the text.
+    parts together are the text.  Without ``tokens`` the lines are those of
+    ``surrounded`` occurrences; with ``glued`` documents are the glue.
     """
-    near = band(occ, tokens, n, n)
-    if glue is not None:
-        near = _apart(near, glue)
-    parts = F.struct("delta", "word", *([] if glue is None else ["gap"]))
-    left, right = (F.sort_array(F.collect_list(F.when(side, parts))) for side in (F.col("delta") < 0, F.col("delta") > 0))
-    around = near.groupBy("hw", F.col("at").alias("pos")).agg(left.alias("left"), right.alias("right"))
-    # A corpus of one token has an occurrence without neighbours.
-    lines = occ.select("hw", "pos").join(around, ["hw", "pos"], "left")
-    if glue is None:
-        text = lambda c: F.array_join(F.transform(c, lambda x: x["word"]), " ")
-        lctx, rctx = text("left"), text("right")
-    else:
-        text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["gap"], x["word"])), "")
-        lines = _apart(lines, glue)
+    if tokens is not None:
+        occ, glued = _gathered(occ, tokens, n, glue), glue is not None
+    left = F.slice("left", F.greatest(F.size("left") - n + 1, F.lit(1)), F.lit(n))
+    lines = occ.select("hw", "pos", left.alias("left"), F.slice("right", 1, n).alias("right"), "starts")
+    lctx, rctx = F.array_join("left", " "), F.array_join("right", " ")
+    if glued:
+        gap = lambda at: F.when(F.array_contains("starts", at), "").otherwise(" ")
+        text = lambda c, beg, least: F.array_join(F.transform(c, lambda w, i: F.concat(F.when(i < least, "").otherwise(gap(beg + i)), w)), "")
         # The line's first token has nothing before it.
-        start = F.length(F.get("left", 0)["gap"])
-        lctx = F.when(F.size("left") > 0, F.concat(F.substring(text("left"), start + 1, F.length(text("left"))), "gap"))
-        rctx = text("right")
-    return lines.select("hw", "pos", F.coalesce(lctx, F.lit("")).alias("lctx"), F.coalesce(rctx, F.lit("")).alias("rctx"), F.col("hw").alias("kw"))
-
-
-def _apart(rows: DataFrame, glue: DataFrame) -> DataFrame:
-    """Adds gap, what stands before a row's token: nothing where a glue begins, else a blank."""
-    starts = glue.select("pos").distinct().withColumn("__glued", F.lit(True))
-    return rows.join(starts, "pos", "left").withColumn("gap", F.when(F.col("__glued"), "").otherwise(" ")).drop("__glued")
+        lctx = F.when(F.size("left") > 0, F.concat(text("left", F.col("pos") - F.size("left"), 1), gap(F.col("pos")))).otherwise("")
+        rctx = text("right", F.col("pos") + 1, 0)
+    return lines.select("hw", "pos", lctx.alias("lctx"), rctx.alias("rctx"), F.col("hw").alias("kw"))
 
 
 def pair_scores(pairs: DataFrame, senses: DataFrame, nodes: DataFrame, paths: DataFrame, fast: bool = False) -> DataFrame:

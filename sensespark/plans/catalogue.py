@@ -221,23 +221,27 @@ def _occ(spark, sf_dir):
     return m, docs, toks, materialise(context.occurrences(toks, fixtures.heads(m)), "occurrences")
 
 
+def _surrounded(spark, sf_dir):
+    """The model and the occurrences with their contexts, written since every step reads them."""
+    m, docs = fixtures.model(spark, sf_dir), corpus.documents(spark, sf_dir)
+    return m, context.surrounded(docs, corpus.placed(docs, 2 * WINDOW)[1], fixtures.heads(m), 2 * WINDOW)
+
+
 @query
 def kwic(spark, sf_dir):
-    _, _, toks, occ = _occ(spark, sf_dir)
-    return context.kwic(occ, toks, 3)
+    return context.kwic(_surrounded(spark, sf_dir)[1], None, 3)
 
 
 @query
 def kwic_glue(spark, sf_dir):
     """Lines with documents as the glue structure: no blank where one begins."""
-    _, docs, toks, occ = _occ(spark, sf_dir)
-    return context.kwic(occ, toks, 3, docs.select(F.col("beg").alias("pos")))
+    return context.kwic(_surrounded(spark, sf_dir)[1], None, 3, glued=True)
 
 
 @query
 def context_window_infer(spark, sf_dir):
-    m, _, toks, occ = _occ(spark, sf_dir)
-    return context.inference_window(occ, toks, m.lexicon, WINDOW).withColumnRenamed("at", "pos")
+    m, occ = _surrounded(spark, sf_dir)
+    return context.inference_window(occ, None, m.lexicon, WINDOW).withColumnRenamed("at", "pos")
 
 
 @query

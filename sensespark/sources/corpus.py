@@ -30,31 +30,40 @@ def plain_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.posexplode("words").alias("tok_ix", "word"))
 
 
-def structures(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, lang, source, beg, end): documents as intervals of positions.
+def structures(docs: DataFrame, block: int = BLOCK, edge: int = 0) -> DataFrame:
+    """(doc_id, lang, source, beg, end): documents as intervals of positions; with ``edge`` also first and last, so many words of either end.
 
     A document begins after all with a smaller id.  Lengths are written, since
     they are read twice and texts need not be.  They are summed per
     block of ids first, so the window without partitions has one row per block
     and the others see one block each.
     """
-    rows = docs.select("doc_id", "lang", "source", F.size("words").cast("long").alias("len"), F.floor(F.col("doc_id") / block).alias("block"))
+    ends = [F.slice("words", 1, edge).alias("first"), F.reverse(F.slice(F.reverse("words"), 1, edge)).alias("last")] if edge else []
+    rows = docs.select("doc_id", "lang", "source", F.size("words").cast("long").alias("len"), F.floor(F.col("doc_id") / block).alias("block"), *ends)
     rows = materialise(rows, "lengths")
     totals = rows.groupBy("block").agg(F.sum("len").alias("block_len"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("block", F.coalesce(F.sum("block_len").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     beg = F.col("start") + F.coalesce(F.sum("len").over(inside), F.lit(0))
-    return rows.join(starts, "block").withColumn("beg", beg).select("doc_id", "lang", "source", "beg", (F.col("beg") + F.col("len")).alias("end"))
+    return rows.join(starts, "block").withColumn("beg", beg).select("doc_id", "lang", "source", "beg", (F.col("beg") + F.col("len")).alias("end"), *(["first", "last"] if edge else []))
 
 
-def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def edge_tokens(begins: DataFrame) -> DataFrame:
+    """(pos, word, starts) of the words in first and last of ``structures``, each position once; starts: a document begins there."""
+    first = begins.select("beg", F.posexplode("first").alias("i", "word")).select((F.col("beg") + F.col("i")).alias("pos"), "word", (F.col("i") == 0).alias("starts"))
+    rest = begins.select((F.col("end") - F.size("last")).alias("from"), (F.col("beg") + F.size("first")).alias("least"), F.posexplode("last").alias("i", "word"))
+    last = rest.filter(F.col("from") + F.col("i") >= F.col("least")).select((F.col("from") + F.col("i")).alias("pos"), "word", F.lit(False).alias("starts"))
+    return first.unionByName(last)
+
+
+def placed(docs: DataFrame, edge: int = 0) -> tuple[DataFrame, DataFrame]:
     """(docs with beg, structures): where each document begins, written once.
 
     ``beg`` joins whole documents; they are exploded behind that join, so no
     token is shuffled for its position.
     """
-    begins = materialise(structures(docs), "structures")
+    begins = materialise(structures(docs, edge=edge), "structures")
     return docs.join(begins.select("doc_id", "beg"), "doc_id"), begins
 
 

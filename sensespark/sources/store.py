@@ -8,8 +8,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: Rows of a narrow table that may be broadcast; they are counted first.
+SMALL = 1 << 18
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -44,3 +47,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame) -> bool:
+    """Whether ``df``, best a written table, has so few rows that they may be broadcast."""
+    return df.limit(SMALL + 1).count() <= SMALL
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if its rows are few; else a join shuffles it."""
+    return F.broadcast(df) if few(df) else df

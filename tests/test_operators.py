@@ -48,6 +48,51 @@ def test_kwic_has_every_occurrence_of_every_head(spark, con):
     assert rows(found) == rows(con.execute(catalogue.oracle_sql()["kwic"]).df())
 
 
+def _planned(spark, monkeypatch, name):
+    """Joined nodes of all plans that a query runs, those of written tables included."""
+    found, write = [], store.materialise
+
+    def walk(node):
+        found.append(node)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    def seen(df):
+        walk(df._jdf.queryExecution().sparkPlan())
+        return df
+
+    for module in (catalogue, context, corpus, fixtures, lexicon, senses):
+        monkeypatch.setattr(module, "materialise", lambda df, name: write(seen(df), name))
+    seen(catalogue.queries()[name](spark, DATA))
+    return found
+
+
+@pytest.mark.parametrize("name", ["kwic", "kwic_glue", "posterior"])
+def test_no_exploded_rows_are_broadcast(spark, monkeypatch, name):
+    """Each position beside an occurrence was sent to the driver, since Spark takes an explode for no growth."""
+    nodes = _planned(spark, monkeypatch, name)
+    built = [n.buildPlan().toString() for n in nodes if n.nodeName().startswith("Broadcast") and "Join" in n.nodeName()]
+    assert built and not [b for b in built if "Generate" in b]
+
+
+def test_contexts_cross_short_documents(spark):
+    """Documents of one to four words: contexts of up to five tokens reach over several of them."""
+    rng = np.random.default_rng(5)
+    texts = [[str(w) for w in rng.choice(["x", "y", "a", "b"], rng.integers(1, 5))] for _ in range(60)]
+    docs = spark.createDataFrame([(3 * i, "de", "s", t) for i, t in enumerate(texts)], "doc_id long, lang string, source string, words array<string>")
+    heads = spark.createDataFrame([(1, "x"), (2, "y")], "head_id long, hw string")
+    words, starts = sum(texts, []), set(np.cumsum([0] + [len(t) for t in texts])[:-1].tolist())
+    occ = context.surrounded(docs, corpus.placed(docs, 5)[1], heads, 5)
+    got = {r["pos"]: (r["hw"], r["left"], r["right"], set(r["starts"]) | {r["pos"]} & starts) for r in occ.collect()}
+    assert got == {p: (w, words[max(0, p - 5) : p], words[p + 1 : p + 6], {q for q in starts if abs(q - p) <= 5}) for p, w in enumerate(words) if w in ("x", "y")}
+    placed, begins = corpus.placed(docs)
+    toks = corpus.placed_tokens(placed)
+    plain = context.occurrences(toks, heads)
+    sort = lambda df: sorted(df.select("hw", "pos", "lctx", "kw", "rctx").collect())
+    assert sort(context.kwic(occ, None, 3)) == sort(context.kwic(plain, toks, 3))
+    assert sort(context.kwic(occ, None, 3, glued=True)) == sort(context.kwic(plain, toks, 3, begins.select(F.col("beg").alias("pos"))))
+
+
 def test_glue_takes_blanks_away(spark):
     words = ["a", "b", "x", "c", "d", "x"]
     toks = spark.createDataFrame([(i, w, 0) for i, w in enumerate(words)], "pos long, word string, doc_id long")
