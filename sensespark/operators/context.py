@@ -149,7 +149,8 @@ def pair_scores(pairs: DataFrame, senses: DataFrame, nodes: DataFrame, paths: Da
     product is taken once per sense and node.
     """
     logistic = mathx.fast_log_sigmoid if fast else mathx.log_sigmoid
-    steps = materialise(pairs.join(paths.withColumnRenamed("word_id", "ctx_id"), "ctx_id").select("head_id", "ctx_id", "node_id", "code"), "path-steps")
+    # Paths may be exploded too.
+    steps = materialise(pairs.join(paths.withColumnRenamed("word_id", "ctx_id").hint("merge"), "ctx_id").select("head_id", "ctx_id", "node_id", "code"), "path-steps")
     # Only nodes on the way to a context word of the head.
     wanted = steps.select("head_id", "node_id").distinct().join(nodes.select("node_id", F.col("vec").alias("out")), "node_id")
     dots = wanted.join(senses.select(F.col("word_id").alias("head_id"), "sense", "vec"), "head_id")
@@ -162,11 +163,13 @@ def posteriors(contexts: DataFrame, scores: DataFrame, priors: DataFrame, keys:
     """(*keys, sense, p): priors plus the scores of the context, normalised.
 
     ``contexts`` has keys, head_id and ctx_id, null where there is no context;
-    ``priors`` has head_id, sense, log_prior of active senses only.
+    ``priors`` has head_id, sense, log_prior of active senses only.  Contexts
+    are summed where they are if the scores of active senses are few.
     """
-    per_pair = contexts.groupBy(*keys, "head_id", "ctx_id").agg(F.count("ctx_id").alias("n"))
-    spread = per_pair.join(priors, "head_id").join(scores, ["head_id", "ctx_id", "sense"], "left")
-    logs = spread.groupBy(*keys, "head_id", "sense").agg((F.max("log_prior") + F.coalesce(F.sum(F.col("n") * F.col("score")), F.lit(0.0))).alias("z"))
+    priors = materialise(priors.select("head_id", "sense", "log_prior"), "priors")
+    scores = materialise(scores.join(priors.select("head_id", "sense"), ["head_id", "sense"], "left_semi"), "scores")
+    spread = contexts.select(*keys, "head_id", "ctx_id").join(small(priors), "head_id").join(small(scores), ["head_id", "ctx_id", "sense"], "left")
+    logs = spread.groupBy(*keys, "head_id", "sense").agg((F.max("log_prior") + F.coalesce(F.sum("score"), F.lit(0.0))).alias("z"))
     whole = Window.partitionBy(*keys)
     weight = logs.withColumn("w", F.exp(F.col("z") - F.max("z").over(whole)))
     return weight.withColumn("p", F.col("w") / F.sum("w").over(whole)).select(*keys, "head_id", "sense", "p")

@@ -33,9 +33,13 @@ def with_rank(rows: DataFrame, value: str, ties: list[Column], name: str) -> Dat
 
 def ranked_lexicon(tokens: DataFrame, min_freq: int = 1, drop_top: int = 0) -> DataFrame:
     """(word_id, word, freq): frequent words, the ``drop_top`` most frequent left out, ids by rank."""
-    counted = frequencies(tokens).filter(F.col("freq") >= min_freq)
-    ranked = with_rank(counted, "freq", [F.col("word").asc()], "word_id").filter(F.col("word_id") >= drop_top)
-    return ranked.select((F.col("word_id") - drop_top).alias("word_id"), "word", "freq")
+    return ranked(frequencies(tokens).filter(F.col("freq") >= min_freq), drop_top)
+
+
+def ranked(counted: DataFrame, drop_top: int = 0) -> DataFrame:
+    """``ranked_lexicon`` of words that were counted (word, freq)."""
+    rows = with_rank(counted, "freq", [F.col("word").asc()], "word_id").filter(F.col("word_id") >= drop_top)
+    return rows.select((F.col("word_id") - drop_top).alias("word_id"), "word", "freq")
 
 
 def drop_probability(freq: Column, total: Column, t: float) -> Column:

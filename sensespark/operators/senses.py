@@ -63,12 +63,13 @@ def disambiguated(rows: DataFrame, status: DataFrame, post: DataFrame, senses: i
     return rows.join(found, "row_id", "left")
 
 
-def occurrence_posteriors(occ: DataFrame, tokens: DataFrame, model, window: int, fast: bool = False) -> DataFrame:
-    """(head_id, at, sense, p) of each occurrence (head_id, hw, pos)."""
+def occurrence_posteriors(occ: DataFrame, tokens: DataFrame | None, model, window: int, fast: bool = False) -> DataFrame:
+    """(head_id, at, sense, p) of each occurrence (head_id, hw, pos); without ``tokens`` of ``surrounded`` ones."""
     # Read for the pairs to score and for the occurrences themselves.
     found = materialise(ctx.inference_window(occ, tokens, model.lexicon, window).select("head_id", "at", "ctx_id"), "windows")
     scores = ctx.pair_scores(found.select("head_id", "ctx_id").distinct(), model.senses, model.nodes, model.paths, fast)
-    every = occ.select("head_id", F.col("pos").alias("at")).join(found, ["head_id", "at"], "left")
+    # Each occurrence once without a context word, for those that have none.
+    every = found.unionByName(occ.select("head_id", F.col("pos").alias("at"), F.lit(None).cast("long").alias("ctx_id")))
     return ctx.posteriors(every, scores, log_priors(model.senses, model.alpha), ["at"])
 
 
@@ -87,7 +88,7 @@ def sense_frequencies(post: DataFrame, occ: DataFrame, epoch_table: DataFrame, a
     return every.join(counted, ["head_id", "epoch_no"], "left").select("head_id", "epoch_no", *filled, "norm")
 
 
-def concordance(post: DataFrame, occ: DataFrame, tokens: DataFrame, low: float, high: float, rows: int, n: int) -> DataFrame:
+def concordance(post: DataFrame, occ: DataFrame, tokens: DataFrame | None, low: float, high: float, rows: int, n: int) -> DataFrame:
     """(hw, sn, prob, pos, lctx, kw, rctx): best lines of each sense within a band of probability.
 
     Of lines alike in sense and probability the first stays.
@@ -96,7 +97,7 @@ def concordance(post: DataFrame, occ: DataFrame, tokens: DataFrame, low: float,
     single = best.groupBy("head_id", "sense", "p").agg(F.min("at").alias("at")).filter(F.col("p").between(low, high))
     order = Window.partitionBy("head_id", "sense").orderBy(F.desc("p"), "at")
     kept = single.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows)
-    chosen = occ.join(kept.select("head_id", F.col("at").alias("pos"), F.col("sense").alias("sn"), F.col("p").alias("prob")), ["head_id", "pos"])
+    chosen = materialise(occ.join(kept.select("head_id", F.col("at").alias("pos"), F.col("sense").alias("sn"), F.col("p").alias("prob")), ["head_id", "pos"]), "chosen")
     lines = ctx.kwic(chosen, tokens, n)
     return chosen.select("hw", "pos", "sn", "prob").join(lines, ["hw", "pos"]).select("hw", "sn", "prob", "pos", "lctx", "kw", "rctx")
 

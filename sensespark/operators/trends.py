@@ -19,7 +19,11 @@ def epochs(tokens: DataFrame, attribute: str, limit: float = 0.15) -> DataFrame:
 
     A limit of 1 or more is a number of tokens, below it a share of the mean.
     """
-    norms = tokens.groupBy(F.col(attribute).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("norm"))
+    return numbered(tokens.groupBy(F.col(attribute).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("norm")), limit)
+
+
+def numbered(norms: DataFrame, limit: float = 0.15) -> DataFrame:
+    """``epochs`` of values whose tokens were counted (value, norm)."""
     good = norms.filter(F.col("value").isNotNull() & ~F.col("value").isin(BAD))
     least = F.lit(float(limit)) if limit >= 1 else F.floor(F.avg("norm").over(Window.partitionBy()) * limit)
     order = Window.orderBy(mathx.natural_key(F.col("value")), "value")

@@ -222,9 +222,10 @@ def _occ(spark, sf_dir):
 
 
 def _surrounded(spark, sf_dir):
-    """The model and the occurrences with their contexts, written since every step reads them."""
+    """The model, the occurrences with their contexts, which are written since every step reads them, and the structures."""
     m, docs = fixtures.model(spark, sf_dir), corpus.documents(spark, sf_dir)
-    return m, context.surrounded(docs, corpus.placed(docs, 2 * WINDOW)[1], fixtures.heads(m), 2 * WINDOW)
+    begins = corpus.placed(docs, 2 * WINDOW)[1]
+    return m, context.surrounded(docs, begins, fixtures.heads(m), 2 * WINDOW), docs, begins
 
 
 @query
@@ -240,7 +241,7 @@ def kwic_glue(spark, sf_dir):
 
 @query
 def context_window_infer(spark, sf_dir):
-    m, occ = _surrounded(spark, sf_dir)
+    m, occ, _, _ = _surrounded(spark, sf_dir)
     return context.inference_window(occ, None, m.lexicon, WINDOW).withColumnRenamed("at", "pos")
 
 
@@ -268,8 +269,8 @@ def pair_score_fast(spark, sf_dir):
 
 
 def _posterior(spark, sf_dir):
-    m, docs, toks, occ = _occ(spark, sf_dir)
-    return m, docs, toks, occ, materialise(senses.occurrence_posteriors(occ, toks, m, WINDOW), "posteriors")
+    m, occ, docs, begins = _surrounded(spark, sf_dir)
+    return m, occ, docs, begins, materialise(senses.occurrence_posteriors(occ, None, m, WINDOW), "posteriors")
 
 
 @query
@@ -311,8 +312,9 @@ def desamb_table(spark, sf_dir):
 
 
 def _frequencies(spark, sf_dir, soft):
-    _, _, _, occ, post = _posterior(spark, sf_dir)
-    return senses.sense_frequencies(post, occ, _epochs(_tokens(spark, sf_dir)), "source", fixtures.SENSES, soft)
+    _, occ, _, begins, post = _posterior(spark, sf_dir)
+    lengths = begins.groupBy(F.col("source").alias("value")).agg(F.sum(F.col("end") - F.col("beg")).cast("double").alias("norm"))
+    return senses.sense_frequencies(post, occ, materialise(trends.numbered(lengths), "epochs"), "source", fixtures.SENSES, soft)
 
 
 @query
@@ -327,44 +329,44 @@ def sense_freqs_soft(spark, sf_dir):
 
 @query
 def sense_concordance(spark, sf_dir):
-    _, _, toks, occ, post = _posterior(spark, sf_dir)
-    return senses.concordance(post, occ, toks, 0.9, 1.0, 20, 3)
+    _, occ, _, _, post = _posterior(spark, sf_dir)
+    return senses.concordance(post, occ, None, 0.9, 1.0, 20, 3)
 
 
-def _head_sketches(docs, m):
-    found = fixtures.sketches(docs, fixtures.heads(m)).filter("cnt >= 5 and rnk >= 2")
+def _head_sketches(occ, m):
+    found = fixtures.sketches(occ, m.counts).filter("cnt >= 5 and rnk >= 2")
     return materialise(found.select("doc_id", "head_id", "head", "coll", "cnt", "rnk", "pos"), "sketches")
 
 
 @query
 def sketch_stats(spark, sf_dir):
-    m, docs, _, _, post = _posterior(spark, sf_dir)
-    found = senses.sketch_statistics(_head_sketches(docs, m), post, fixtures.SENSES)
+    m, occ, _, _, post = _posterior(spark, sf_dir)
+    found = senses.sketch_statistics(_head_sketches(occ, m), post, fixtures.SENSES)
     return _round(found.drop("dist"), "mean", "sd", "rnk", digits=4)
 
 
 @query
 def sketch_eval(spark, sf_dir):
     """The same statistics without a mask; collocates of an even count have a longest match of three words."""
-    m, docs, _, _, post = _posterior(spark, sf_dir)
+    m, occ, _, _, post = _posterior(spark, sf_dir)
     lcm = F.when(F.col("cnt") % 2 == 0, F.array("head", "coll", "coll")).otherwise(F.array("coll"))
-    rows = _head_sketches(docs, m).withColumn("lcm", lcm)
+    rows = _head_sketches(occ, m).withColumn("lcm", lcm)
     return _round(senses.sketch_evaluation(rows, post), "mean", "sd", "rnk", digits=4)
 
 
 @query
 def sketch_sample(spark, sf_dir):
     """The statistics over at most ten positions of each collocate."""
-    m, docs, _, _, post = _posterior(spark, sf_dir)
-    rows = lexicon.sample_positions(_head_sketches(docs, m), 10, ["head_id", "coll"])
+    m, occ, _, _, post = _posterior(spark, sf_dir)
+    rows = lexicon.sample_positions(_head_sketches(occ, m), 10, ["head_id", "coll"])
     return _round(senses.sketch_statistics(rows, post, fixtures.SENSES).drop("dist"), "mean", "sd", "rnk", digits=4)
 
 
 @query
 def sketch_overlap(spark, sf_dir):
     """Documents that two collocates of a head have in common."""
-    m = fixtures.model(spark, sf_dir)
-    rows = _head_sketches(_placed(spark, sf_dir)[0], m).filter("cnt >= 10").select("head_id", "coll", "doc_id").distinct()
+    m, occ, _, _ = _surrounded(spark, sf_dir)
+    rows = _head_sketches(occ, m).filter("cnt >= 10").select("head_id", "coll", "doc_id").distinct()
     other = rows.select("head_id", F.col("coll").alias("other"), "doc_id")
     return rows.join(other, ["head_id", "doc_id"]).filter("coll < other").groupBy("head_id", "coll", "other").agg(F.count(F.lit(1)).alias("n_shared"))
 
