@@ -108,14 +108,31 @@ def _spread(occ: DataFrame, n: int) -> DataFrame:
     return rows.select("head_id", "hw", "at", "x.delta", "x.word").filter(F.abs("delta") <= n)
 
 
+def _ahead(tokens: DataFrame, lexicon: DataFrame, window: int) -> DataFrame:
+    """(doc_id, i, word_id, x): known words of each document, numbered; x has (d, ctx_id) of the ``window`` next ones."""
+    known = tokens.join(small(lexicon.select("word", "word_id")), "word").select("doc_id", "tok_ix", "word_id")
+    order = Window.partitionBy("doc_id").orderBy("tok_ix")
+    later = F.array(*[F.struct(F.lit(d).alias("d"), F.lead("word_id", d).over(order).alias("ctx_id")) for d in range(1, window + 1)])
+    return known.select("doc_id", (F.row_number().over(order) - 1).alias("i"), "word_id", later.alias("x"))
+
+
 def training_window(tokens: DataFrame, lexicon: DataFrame, window: int) -> DataFrame:
     """(doc_id, i, word_id, ctx_id, delta): known words only, ``window`` before and one less after, within documents."""
-    known = tokens.join(lexicon.select("word", "word_id"), "word")
-    numbered = known.select("doc_id", "word_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_ix")) - 1).alias("i"))
-    offsets = F.expr(f"filter(sequence({-window}, {window - 1}), d -> d <> 0)")
-    spread = numbered.select("doc_id", "i", "word_id", F.explode(offsets).alias("delta")).withColumn("k", F.col("i") + F.col("delta"))
-    others = numbered.select("doc_id", F.col("i").alias("k"), F.col("word_id").alias("ctx_id"))
-    return spread.join(others, ["doc_id", "k"]).select("doc_id", "i", "word_id", "ctx_id", "delta")
+    pairs = _ahead(tokens, lexicon, window).select("doc_id", "i", "word_id", F.explode("x").alias("x")).filter("x.ctx_id is not null")
+    # A pair is seen from both of its words.
+    after = F.struct("i", "word_id", F.col("x.ctx_id").alias("ctx_id"), F.col("x.d").alias("delta"))
+    before = F.struct((F.col("i") + F.col("x.d")).alias("i"), F.col("x.ctx_id").alias("word_id"), F.col("word_id").alias("ctx_id"), (-F.col("x.d")).alias("delta"))
+    return pairs.select("doc_id", F.explode(F.array(after, before)).alias("y")).filter(F.col("y.delta") < window).select("doc_id", "y.*")
+
+
+def training_counts(tokens: DataFrame, lexicon: DataFrame, window: int) -> DataFrame:
+    """(word_id, ctx_id, delta, n): the pairs of ``training_window`` counted, each from one side and all distances in a row."""
+    pairs = _ahead(tokens, lexicon, window).select("word_id", F.explode("x").alias("x")).filter("x.ctx_id is not null")
+    sums = [F.sum(F.when(F.col("x.d") == d, F.lit(1)).otherwise(0)).alias(f"n{d}") for d in range(1, window + 1)]
+    counted = pairs.groupBy(F.col("word_id").alias("a"), F.col("x.ctx_id").alias("b")).agg(*sums)
+    side = lambda word, ctx, delta, n: F.struct(F.col(word).alias("word_id"), F.col(ctx).alias("ctx_id"), F.lit(delta).alias("delta"), F.col(n).alias("n"))
+    both = [side("a", "b", d, f"n{d}") for d in range(1, window)] + [side("b", "a", -d, f"n{d}") for d in range(1, window + 1)]
+    return counted.select(F.explode(F.array(*both)).alias("y")).select("y.*").filter("n > 0")
 
 
 def kwic(occ: DataFrame, tokens: DataFrame | None, n: int, glue: DataFrame | None = None, glued: bool = False) -> DataFrame:

@@ -248,8 +248,7 @@ def context_window_infer(spark, sf_dir):
 @query
 def context_window_train(spark, sf_dir):
     m = fixtures.model(spark, sf_dir)
-    found = context.training_window(_tokens(spark, sf_dir), m.lexicon, WINDOW)
-    return found.groupBy("word_id", "ctx_id", "delta").agg(F.count(F.lit(1)).alias("n"))
+    return context.training_counts(_tokens(spark, sf_dir), m.lexicon, WINDOW)
 
 
 def _pair_scores(spark, sf_dir, fast):

@@ -75,6 +75,23 @@ def test_no_exploded_rows_are_broadcast(spark, monkeypatch, name):
     assert built and not [b for b in built if "Generate" in b]
 
 
+def test_training_pairs_are_counted_without_joining_tokens(spark, monkeypatch, con):
+    """Each token met its neighbours in a join of all tokens with themselves; now the largest join has the lexicon."""
+    rng = np.random.default_rng(8)
+    texts = [[str(w) for w in rng.choice(list("abcdefg"), rng.integers(1, 12))] for _ in range(40)]
+    toks = spark.createDataFrame([(d, i, w) for d, t in enumerate(texts) for i, w in enumerate(t)], "doc_id long, tok_ix int, word string")
+    lex = spark.createDataFrame([(k, w) for k, w in enumerate("abcde")], "word_id long, word string")
+    known = [["abcde".index(w) for w in t if w in "abcde"] for t in texts]
+    want = [(d, i, t[i], t[i + k], k) for d, t in enumerate(known) for i in range(len(t)) for k in (-3, -2, -1, 1, 2) if 0 <= i + k < len(t)]
+    assert sorted(tuple(r) for r in context.training_window(toks, lex, 3).collect()) == sorted(want)
+    counts = pd.Series([x[2:] for x in want]).value_counts().to_dict()
+    assert {tuple(r)[:3]: r["n"] for r in context.training_counts(toks, lex, 3).collect()} == counts
+    found = catalogue.queries()["context_window_train"](spark, DATA)
+    assert rows(found.toPandas()) == rows(con.execute(catalogue.oracle_sql()["context_window_train"]).df())
+    names = [n.nodeName() for n in _planned(spark, monkeypatch, "context_window_train")]
+    assert not [x for x in names if x in ("SortMergeJoin", "ShuffledHashJoin")]
+
+
 def test_contexts_cross_short_documents(spark):
     """Documents of one to four words: contexts of up to five tokens reach over several of them."""
     rng = np.random.default_rng(5)
