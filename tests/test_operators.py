@@ -67,7 +67,7 @@ def _planned(spark, monkeypatch, name):
     return found
 
 
-@pytest.mark.parametrize("name", ["kwic", "kwic_glue", "posterior", "sense_freqs_hard", "sketch_stats", "sketch_eval", "sketch_sample", "sense_concordance"])
+@pytest.mark.parametrize("name", ["kwic", "kwic_glue", "posterior", "sense_freqs_hard", "sketch_stats", "sketch_eval", "sketch_sample", "sense_concordance", "sense_freqs_soft"])
 def test_no_exploded_rows_are_broadcast(spark, monkeypatch, name):
     """Each position beside an occurrence was sent to the driver, since Spark takes an explode for no growth."""
     nodes = _planned(spark, monkeypatch, name)
