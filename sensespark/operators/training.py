@@ -60,23 +60,29 @@ class State:
         return np.zeros(self.meanings)
 
 
+_SIX = np.arange(6.0)
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
     """For x > 0: recurrence up to 6, then the asymptotic series."""
-    out, y = np.zeros_like(x), x + 6
-    for i in range(6):
-        out -= 1 / (x + i)
+    y = x + 6
     p = 1 / (y * y)
-    return out + np.log(y) - 0.5 / y - p * (1 / 12 - p * (1 / 120 - p * (1 / 252 - p * (1 / 240 - p * 5 / 660))))
+    series = np.log(y) - 0.5 / y - p * (1 / 12 - p * (1 / 120 - p * (1 / 252 - p * (1 / 240 - p * 5 / 660))))
+    return series - (1 / (x[..., None] + _SIX)).sum(axis=-1)
 
 
 def training_prior(counts: np.ndarray, alpha: float) -> np.ndarray:
     """E[log pi] of the stick-breaking posterior, by digamma."""
-    later = np.concatenate([np.cumsum(counts[::-1])[::-1][1:], [0.0]])
-    a, b = 1 + counts, alpha + later
-    whole = digamma(a + b)
-    taken, left = digamma(a) - whole, digamma(b) - whole
+    both = np.empty((3, len(counts)))
+    both[1] = 1 + counts
+    both[2] = alpha
+    both[2, :-1] += counts[:0:-1].cumsum()[::-1]
+    both[0] = both[1] + both[2]
+    whole, taken, left = digamma(both)
+    taken -= whole
     taken[-1] = 0.0
-    return taken + np.concatenate([[0.0], np.cumsum(left[:-1])])
+    taken[1:] += (left - whole)[:-1].cumsum()
+    return taken
 
 
 def learning_rate(rate: float, read: int, total: int) -> float:
@@ -99,25 +105,35 @@ def step(state: State, word: int, context: list[int], codes: list[tuple[np.ndarr
     """One token: responsibilities of senses, then gradients; returns the log-likelihood."""
     score = state.blank()
     own = state.inner[word]
-    ahead = [(codes[y][0], own @ state.outer[codes[y][0]].T, codes[y][1]) for y in context]
-    for _, dots, code in ahead:
-        score -= np.logaddexp(0, -(1 - 2 * code) * dots).sum(axis=1)
+    if context:
+        # Nothing changes before the responsibilities are known, so all paths are read at once.
+        nodes = np.concatenate([codes[y][0] for y in context])
+        code = np.concatenate([codes[y][1] for y in context])
+        score -= np.logaddexp(0, (2 * code - 1) * (own @ state.outer.take(nodes, axis=0).T)).sum(axis=1)
     z = training_prior(state.counts[word], options.alpha) + score
     top = z.max()
     weight = np.exp(z - top)
-    likelihood = float(top + np.log(weight.sum()))
-    weight /= weight.sum()
-    active = np.where(weight < options.skip, 0, weight)[:, None]
-    for nodes, _, code in ahead:
-        outer = state.outer[nodes]
-        slope = active * rate * ((1 - code) - 1 / (1 + np.exp(-own @ outer.T)))
-        change = slope @ outer
-        state.outer[nodes] += slope.T @ own
-        own += change
+    whole = weight.sum()
+    likelihood = float(top + np.log(whole))
+    weight /= whole
+    active = np.where(weight < options.skip, 0, weight * rate)[:, None]
+    for y in context:
+        nodes, code = codes[y]
+        outer = state.outer.take(nodes, axis=0)
+        slope = active * ((1 - code) - 1 / (1 + np.exp(-(own @ outer.T))))
+        # A path has a node once.
+        state.outer[nodes] = outer + slope.T @ own
+        own += slope @ outer
     state.counts[word] += rate * (weight * freq - state.counts[word])
     return likelihood
 
 
+def met(n: int, window: int) -> np.ndarray:
+    """How often each of n tokens is context of another."""
+    at = np.arange(n)
+    return np.minimum(n - 1, at + window) - np.maximum(0, at - window + 1)
+
+
 def train(tokens: DataFrame, lexicon: DataFrame, options: Options) -> tuple[State, list[float]]:
     """Parameters for the lexicon's words and each round's mean log-likelihood."""
     spark = tokens.sparkSession
@@ -137,18 +153,20 @@ def train(tokens: DataFrame, lexicon: DataFrame, options: Options) -> tuple[Stat
         def run(batches: Iterator[pd.DataFrame], shared=shared, done=done) -> Iterator[pd.DataFrame]:
             start, paths, counts = shared.value
             mine = State(start.inner.copy(), start.outer.copy(), start.counts.copy())
-            inner, outer, read, gain = np.zeros(len(counts)), np.zeros(len(counts)), 0, 0.0
+            inner, seen, read, gain = np.zeros(len(counts)), np.zeros(len(counts)), 0, 0.0
             for batch in batches:
-                for words in batch["words"]:
-                    words = list(words)
+                for listed in batch["words"]:
+                    words = listed.tolist()
+                    np.add.at(inner, listed, 1.0)
+                    np.add.at(seen, listed, met(len(words), options.window))
                     for i, word in enumerate(words):
                         context = [words[j] for j in range(max(0, i - options.window), min(len(words), i + options.window)) if j != i]
                         rate = learning_rate(options.rate, done + read * options.partitions, total)
                         gain += step(mine, word, context, paths, counts[word], rate, options)
-                        inner[word] += 1
-                        for y in context:
-                            outer[paths[y][0]] += 1
                         read += 1
+            outer = np.zeros(len(counts))
+            for y in np.flatnonzero(seen):
+                outer[paths[y][0]] += seen[y]
             rows = [("in", int(w), float(inner[w]), mine.inner[w].ravel().astype(float).tolist() + mine.counts[w].tolist()) for w in np.flatnonzero(inner)]
             rows += [("out", int(n), float(outer[n]), mine.outer[n].astype(float).tolist()) for n in np.flatnonzero(outer)]
             rows.append(("gain", 0, float(read), [gain]))

@@ -274,6 +274,23 @@ def test_a_step_is_that_of_plain_loops():
     assert state.meanings == 2 and state.blank().tolist() == [0.0, 0.0]
 
 
+def test_a_step_reads_all_paths_at_once(monkeypatch):
+    """A step took the prior by three digammas and each context word's path on its own; updates were counted token by token."""
+    codes = [(np.array([n for n, _ in p], np.int64), np.array([c for _, c in p], float)) for p in huffman.paths([9, 5, 4, 2])]
+    options = training.Options(dim=3, senses=3)
+    state, calls = training.initial(np.array([9.0, 5, 4, 2]), options), []
+    for name in ("digamma", "np.logaddexp"):
+        owner = training.np if "." in name else training
+        real = getattr(owner, name.split(".")[-1])
+        monkeypatch.setattr(owner, name.split(".")[-1], lambda *a, real=real, name=name: (calls.append(name), real(*a))[1])
+    training.step(state, 0, [1, 2, 3], codes, 9.0, 0.1, options)
+    assert sorted(calls) == ["digamma", "np.logaddexp"]
+    training.step(state, 0, [], codes, 9.0, 0.1, options)
+    for n, window in ((0, 2), (1, 2), (3, 1), (9, 2), (5, 4)):
+        near = [j for i in range(n) for j in range(max(0, i - window), min(n, i + window)) if j != i]
+        assert training.met(n, window).tolist() == [near.count(j) for j in range(n)]
+
+
 def test_learning_rate_falls_to_a_floor():
     assert training.learning_rate(0.5, 0, 99) == 0.5 and training.learning_rate(0.5, 50, 99) == 0.25
     assert training.learning_rate(0.5, 100, 99) == training.learning_rate(0.5, 500, 99) == 0.5e-4
