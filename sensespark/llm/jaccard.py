@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import BROADCAST_ROWS, handing_back, materialise, within
+from .storage import BROADCAST_ROWS, handing_back, materialise, short_batches, within
 
 WORDS = 5
 #: 100 * intersection >= PERCENT * union.
@@ -464,7 +464,8 @@ def confirmed_links(documents: DataFrame, found: DataFrame, percent: int = PERCE
     # At most one row of its own for each pair.
     sides = F.broadcast(sides) if 2 * found.count() <= BROADCAST_ROWS else sides
     pairs = documents.join(sides, "doc_id").select("a", "part", "b", "text")
-    return materialise(pairs.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(handing_back(_verify(percent)), "a long, b long"), "near-links")
+    with short_batches(documents.sparkSession):
+        return materialise(pairs.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(handing_back(_verify(percent)), "a long, b long"), "near-links")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -498,7 +499,8 @@ def _run(documents: DataFrame, owners: DataFrame, rows: DataFrame, known: DataFr
     units = units.select("key", "i", "j", "rep", "label", "side", "n_shingles", "bits", "crowd")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     tried = units.mapInArrow(handing_back(_candidates(percent, trust)), "a long, b long, trusted boolean").groupBy("a", "b").agg(F.max("trusted").alias("trusted"))
-    tried = materialise(tried, "near-candidates")
+    with short_batches(documents.sparkSession):
+        tried = materialise(tried, "near-candidates")
     links = confirmed_links(documents, tried.select("a", "b"), percent)
     refuted = trust and tried.filter("trusted").count() > tried.filter("trusted").join(links, ["a", "b"], "left_semi").count()
     if known is not None:
@@ -525,7 +527,8 @@ def class_components(documents: DataFrame, owners: DataFrame, percent: int = PER
 def link_documents(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     documents = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(documents.mapInArrow(handing_back(_sign), _SIGNS), "shingle-signs")
+    with short_batches(df.sparkSession):
+        signed = materialise(documents.mapInArrow(handing_back(_sign), _SIGNS), "shingle-signs")
     grouped = signed.filter("print is not null").groupBy(F.col("print").alias("p"))
     repeated = grouped.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = within(materialise(repeated.select("p", "rep", F.lit(True).alias("again")), "shingle-classes"), BROADCAST_ROWS)

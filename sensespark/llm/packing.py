@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import handing_back, materialise
+from .storage import handing_back, materialise, short_batches
 
 CAPACITY = 2048
 GROUP_PIECES = 8192
@@ -95,6 +95,12 @@ def _document_tokenizer(vocabulary: str):
     return encode
 
 
+def _forget() -> None:
+    """Vocabularies and remembered pre-tokens go; the next text loads them again."""
+    _document_tokenizer.cache_clear()
+    _tokenizer.cache_clear()
+
+
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long"
 
 
@@ -122,7 +128,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(handing_back(cut), _PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(handing_back(cut, _forget), _PIECES + ", ids binary" * with_ids)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +182,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
 def pack_documents(df: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, **options) -> DataFrame:
     """Cut and pack the documents; texts are tokenised once."""
-    return pack(materialise(token_pieces(df, capacity, **options), "pieces"), capacity, group_pieces)
+    with short_batches(df.sparkSession):
+        pieces = materialise(token_pieces(df, capacity, **options), "pieces")
+    return pack(pieces, capacity, group_pieces)
 
 
 def build_sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

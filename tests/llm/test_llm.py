@@ -611,3 +611,31 @@ def test_workers_hand_memory_back_behind_their_last_batch(spark, monkeypatch):
     assert list(storage.handing_back(iter)([])) == []
     df = spark.range(100, numPartitions=3)
     assert sorted(r[0] for r in df.mapInArrow(storage.handing_back(lambda batches: batches), "id long").collect()) == list(range(100))
+
+
+def test_idle_workers_forget_and_batches_are_short(spark, monkeypatch):
+    """An idle worker kept its tokenizer and all pre-tokens, beside the next stage; batches had 10,000 whole texts."""
+    import time
+
+    from sensespark.llm import storage
+
+    monkeypatch.setattr(storage, "IDLE", 0.2)
+    seen = []
+    work = storage.handing_back(lambda batches: batches, lambda: seen.append("forgot"))
+    for _ in range(3):
+        assert list(work(iter([1]))) == [1] and not seen
+    time.sleep(0.6)
+    assert seen == ["forgot"]
+    assert packing._document_tokenizer("byte_bpe_50k.json")("a b") and packing._tokenizer.cache_info().currsize
+    packing._forget()
+    assert not packing._tokenizer.cache_info().currsize and not packing._document_tokenizer.cache_info().currsize
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, held = spark.conf.get(key), []
+    write = storage.materialise
+    for module in (packing, jaccard):
+        monkeypatch.setattr(module, "materialise", lambda df, name: (held.append((name, int(spark.conf.get(key)))), write(df, name))[1])
+    docs = spark.createDataFrame([(i, prose(i // 2, 30)) for i in range(8)], "doc_id long, text string")
+    packing.pack_documents(docs).count()
+    jaccard.link_documents(docs).count()
+    short = {name for name, n in held if n <= storage.BATCH}
+    assert {"pieces", "shingle-signs", "near-candidates", "near-links"} <= short and spark.conf.get(key) == before
