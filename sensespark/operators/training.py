@@ -12,16 +12,16 @@ they may have is a parameter that is checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensespark.operators import huffman
+from sensespark.operators import huffman, kernel
 from sensespark.operators.lexicon import subsample
+from sensespark.sources.store import small
 
 #: Largest parameters that are broadcast.
 MAX_BYTES = 1 << 30
@@ -135,61 +135,50 @@ def met(n: int, window: int) -> np.ndarray:
 
 
 def train(tokens: DataFrame, lexicon: DataFrame, options: Options) -> tuple[State, list[float]]:
-    """Parameters for the lexicon's words and each round's mean log-likelihood."""
-    spark = tokens.sparkSession
+    """Parameters for the lexicon's words and each round's mean log-likelihood; tokens are (doc_id, tok_ix, word)."""
+    kept = tokens if options.subsample is None else subsample(tokens, lexicon, options.subsample, options.seed, ("doc_id", "tok_ix"))
+    known = kept.join(small(lexicon.select("word", "word_id")), "word")
+    words = F.transform(F.sort_array(F.collect_list(F.struct("tok_ix", "word_id"))), lambda x: x["word_id"].cast("int"))
+    return _rounds(known.groupBy("doc_id").agg(words.alias("words")), lexicon, options)
+
+
+def train_documents(docs: DataFrame, lexicon: DataFrame, options: Options) -> tuple[State, list[float]]:
+    """``train`` on whole documents (doc_id, words), whose tokens are not exploded unless they are subsampled."""
+    if options.subsample is not None:
+        return train(docs.select("doc_id", F.posexplode("words").alias("tok_ix", "word")), lexicon, options)
+    return _rounds(kernel.word_ids(docs, lexicon), lexicon, options)
+
+
+def _rounds(docs: DataFrame, lexicon: DataFrame, options: Options) -> tuple[State, list[float]]:
+    """Training on documents (doc_id, words as ids)."""
+    spark = docs.sparkSession
     listed = lexicon.select("word_id", "freq").orderBy("word_id").collect()
     freqs = np.array([r["freq"] for r in listed], np.float64)
-    codes = [(np.array([n for n, _ in p], np.int64), np.array([c for _, c in p], np.float64)) for p in huffman.paths(freqs.astype(int).tolist())]
+    paths = huffman.paths(freqs.astype(int).tolist())
+    starts = np.cumsum([0, *map(len, paths)])
+    steps = np.fromiter((2 * n + c for p in paths for n, c in p), np.int64, int(starts[-1]))
     state, means = initial(freqs, options), []
-    kept = tokens if options.subsample is None else subsample(tokens, lexicon, options.subsample, options.seed, ("doc_id", "tok_ix"))
-    known = kept.join(lexicon.select("word", "word_id"), "word")
-    docs = known.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("tok_ix", "word_id"))), lambda x: x["word_id"]).alias("words"))
     docs = docs.repartition(options.partitions, "doc_id").sortWithinPartitions("doc_id")
     total = int(freqs.sum()) * options.epochs
+    split = 4 * options.senses * options.dim
     for epoch in range(options.epochs):
-        shared = spark.sparkContext.broadcast((state, codes, freqs))
-        done = int(freqs.sum()) * epoch
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, done=done) -> Iterator[pd.DataFrame]:
-            start, paths, counts = shared.value
-            mine = State(start.inner.copy(), start.outer.copy(), start.counts.copy())
-            inner, seen, read, gain = np.zeros(len(counts)), np.zeros(len(counts)), 0, 0.0
-            for batch in batches:
-                for listed in batch["words"]:
-                    words = listed.tolist()
-                    np.add.at(inner, listed, 1.0)
-                    np.add.at(seen, listed, met(len(words), options.window))
-                    for i, word in enumerate(words):
-                        context = [words[j] for j in range(max(0, i - options.window), min(len(words), i + options.window)) if j != i]
-                        rate = learning_rate(options.rate, done + read * options.partitions, total)
-                        gain += step(mine, word, context, paths, counts[word], rate, options)
-                        read += 1
-            outer = np.zeros(len(counts))
-            for y in np.flatnonzero(seen):
-                outer[paths[y][0]] += seen[y]
-            rows = [("in", int(w), float(inner[w]), mine.inner[w].ravel().astype(float).tolist() + mine.counts[w].tolist()) for w in np.flatnonzero(inner)]
-            rows += [("out", int(n), float(outer[n]), mine.outer[n].astype(float).tolist()) for n in np.flatnonzero(outer)]
-            rows.append(("gain", 0, float(read), [gain]))
-            yield pd.DataFrame(rows, columns=["part", "id", "weight", "value"])
-
-        changed = docs.mapInPandas(run, "part string, id long, weight double, value array<double>")
-        spread = changed.select("part", "id", "weight", F.posexplode("value").alias("k", "v"))
-        mean = spread.groupBy("part", "id", "k").agg((F.sum(F.col("v") * F.when(F.col("part") == "gain", 1.0).otherwise(F.col("weight"))) / F.sum("weight")).alias("v"))
-        merged = mean.groupBy("part", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("value"))
-        split = options.senses * options.dim
-        for part, at, value in merged.toLocalIterator():
+        shared = kernel.share(spark, state.inner, state.outer, state.counts, freqs, starts, steps)
+        changed = kernel.changed(docs, shared, options, int(freqs.sum()) * epoch, total)
+        for part, at, value in kernel.means(changed, options.senses).toLocalIterator():
             if part == "in":
-                state.inner[at] = np.array(value[:split], np.float32).reshape(options.senses, options.dim)
-                state.counts[at] = value[split:]
+                state.inner[at] = np.frombuffer(value[:split], "<f4").reshape(options.senses, options.dim)
+                state.counts[at] = np.frombuffer(value[split:], "<f8")
             elif part == "out":
-                state.outer[at] = value
+                state.outer[at] = np.frombuffer(value, "<f4")
             else:
-                means.append(value[0])
+                means.append(float(np.frombuffer(value, "<f8")[0]))
         shared.destroy()
     return state, means
 
 
 def sense_table(tokens: DataFrame, state: State, lexicon: DataFrame) -> DataFrame:
     """(word_id, sense, cnt, vec) of a trained state."""
-    rows = [(w, k, float(state.counts[w, k]), state.inner[w, k].astype(float).tolist()) for w in range(len(state.counts)) for k in range(state.meanings)]
-    return tokens.sparkSession.createDataFrame(rows, "word_id long, sense int, cnt double, vec array<double>").join(lexicon.select("word_id", "word"), "word_id")
+    size, meanings, dim = state.inner.shape
+    vectors = pa.FixedSizeListArray.from_arrays(state.inner.ravel().astype(float), dim).cast(pa.list_(pa.float64()))
+    columns = {"word_id": np.repeat(np.arange(size), meanings), "sense": np.tile(np.arange(meanings, dtype=np.int32), size), "cnt": state.counts.ravel(), "vec": vectors}
+    return tokens.sparkSession.createDataFrame(pa.table(columns)).join(lexicon.select("word_id", "word"), "word_id")

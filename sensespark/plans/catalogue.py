@@ -406,11 +406,11 @@ def huffman_codes(spark, sf_dir):
 
 @query
 def train_smoke(spark, sf_dir):
-    toks = _tokens(spark, sf_dir)
-    words = lexicon.ranked_lexicon(toks, 20)
+    docs = corpus.documents(spark, sf_dir)
+    words = lexicon.ranked_lexicon(corpus.plain_tokens(docs), 20)
     options = training.Options(dim=16, senses=3, window=2, epochs=1)
-    state, _ = training.train(toks, words, options)
-    return model.expected_pi(training.sense_table(toks, state, words), options.alpha).select("word", "sense", "cnt", "pi")
+    state, _ = training.train_documents(docs, words, options)
+    return model.expected_pi(training.sense_table(docs, state, words), options.alpha).select("word", "sense", "cnt", "pi")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -291,6 +291,58 @@ def test_a_step_reads_all_paths_at_once(monkeypatch):
         assert training.met(n, window).tolist() == [near.count(j) for j in range(n)]
 
 
+@pytest.mark.parametrize("dim, senses, skip, size, many", [(5, 3, 1e-10, 0.1, 50), (19, 2, 1e-2, 0.5, 50), (16, 4, 0.2, 3.0, 6)])
+def test_rounds_are_steps_and_run_no_python(spark, monkeypatch, dim, senses, skip, size, many):
+    """Rounds were Python steps token by token; few tokens where products are large, since there a change of 3e-7 grows to 1 in 50 documents."""
+    rng = np.random.default_rng(dim)
+    docs = {d: [f"w{min(rng.zipf(1.4), 60)}" for _ in range(rng.integers(0, 40))] for d in range(many)}
+    whole = spark.createDataFrame([*docs.items(), (99, None), (100, ["unknown"])], "doc_id long, words array<string>")
+    tokens = whole.select("doc_id", F.posexplode("words").alias("tok_ix", "word"))
+    words = lexicon.ranked_lexicon(tokens.filter("word <> 'unknown'"), 2)
+    options = training.Options(dim=dim, senses=senses, window=2, epochs=2, rate=0.1, alpha=1.0, skip=skip, partitions=3)
+    freqs = np.array([r["freq"] for r in words.orderBy("word_id").collect()], float)
+    ids = {r["word"]: r["word_id"] for r in words.collect()}
+    codes = [(np.array([n for n, _ in p], int), np.array([c for _, c in p], float)) for p in huffman.paths(freqs.astype(int).tolist())]
+    start = training.State(*(rng.normal(0, size, x).astype(np.float32) for x in ((len(ids), senses, dim), (len(ids), dim))), rng.uniform(0, 9, (len(ids), senses)))
+    monkeypatch.setattr(training, "initial", lambda f, o: training.State(start.inner.copy(), start.outer.copy(), start.counts.copy()))
+    dealt = [[r["doc_id"] for r in part] for part in whole.select("doc_id").repartition(3, "doc_id").sortWithinPartitions("doc_id").rdd.glom().collect()]
+    want, gains, n, total = training.initial(freqs, options), [], 0, int(freqs.sum())
+    for epoch in range(2):
+        sums = [np.zeros(x.shape) for x in (want.inner, want.outer, want.counts)]
+        taken, read, gain = [np.zeros(len(ids)) for _ in range(2)], 0, 0.0
+        for part in dealt:
+            mine, n = training.State(want.inner.copy(), want.outer.copy(), want.counts.copy()), 0
+            used = [np.zeros(len(ids)) for _ in range(2)]
+            for listed in ([ids[w] for w in docs.get(d, []) if w in ids] for d in part):
+                for i, w in enumerate(listed):
+                    near = [listed[j] for j in range(max(0, i - 2), min(len(listed), i + 2)) if j != i]
+                    gain += training.step(mine, w, near, codes, freqs[w], training.learning_rate(0.1, total * epoch + n * 3, total * 2), options)
+                    n += 1
+                    used[0][w] += 1
+                    for y in near:
+                        used[1][codes[y][0]] += 1
+            for k, (of, by) in enumerate(((mine.inner, used[0]), (mine.outer, used[1]), (mine.counts, used[0]))):
+                sums[k] += of * by.reshape(-1, *[1] * (of.ndim - 1))
+            taken, read = [a + b for a, b in zip(taken, used, strict=True)], read + n
+        gains.append(gain / read)
+        for of, s, by in zip((want.inner, want.outer, want.counts), sums, (taken[0], taken[1], taken[0]), strict=True):
+            of[by > 0] = s[by > 0] / by[by > 0].reshape(-1, *[1] * (of.ndim - 1))
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(whole), name, lambda *a: pytest.fail("Python on the executors"))
+    for state, means in (training.train(tokens, words, options), training.train_documents(whole, words, options)):
+        assert np.allclose(means, gains, rtol=1e-4)
+        for got, plain in ((state.inner, want.inner), (state.outer, want.outer), (state.counts, want.counts)):
+            assert np.allclose(got, plain, rtol=1e-3, atol=1e-3)
+
+
+def test_documents_are_subsampled_as_their_tokens(spark):
+    whole = spark.createDataFrame([(d, ["often"] * 9 + ["rare"]) for d in range(50)], "doc_id long, words array<string>")
+    tokens = whole.select("doc_id", F.posexplode("words").alias("tok_ix", "word"))
+    words, options = lexicon.ranked_lexicon(tokens), training.Options(dim=4, senses=2, window=2, partitions=2, subsample=0.1)
+    (a, x), (b, y) = training.train_documents(whole, words, options), training.train(tokens, words, options)
+    assert x == y and np.array_equal(a.inner, b.inner) and x != training.train_documents(whole, words, training.Options(dim=4, senses=2, window=2, partitions=2))[1]
+
+
 def test_learning_rate_falls_to_a_floor():
     assert training.learning_rate(0.5, 0, 99) == 0.5 and training.learning_rate(0.5, 50, 99) == 0.25
     assert training.learning_rate(0.5, 100, 99) == training.learning_rate(0.5, 500, 99) == 0.5e-4
