@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,26 @@ def paths(freqs: list[int]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def flat_paths(freqs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``paths`` as two arrays: where each word's path starts, with the end of all, and node_id * 2 + code."""
+    parents, codes = np.array(tree(freqs), np.int32).reshape(-1, 2).T
+    size, node = len(freqs), np.arange(len(freqs))
+    depth = np.zeros(size, np.int64)
+    while (inside := parents[node] >= 0).any():
+        depth += inside
+        node = np.where(inside, parents[node], node)
+    starts = np.concatenate([[0], depth.cumsum()])
+    steps = np.empty(starts[-1], np.int32)
+    # From the leaves up, a level at a time.
+    word, node, at = np.arange(size), np.arange(size), starts[1:] - 1
+    while (inside := parents[node] >= 0).any():
+        word, node = word[inside], node[inside]
+        steps[at[word]] = (parents[node] - size) * 2 + codes[node]
+        at[word] -= 1
+        node = parents[node]
+    return starts, steps
+
+
 def path_table(spark: SparkSession, lexicon: DataFrame) -> DataFrame:
     """(word_id, depth, node_id, code) for a lexicon (word_id from 0, freq)."""
     rows = lexicon.select("word_id", "freq").orderBy("word_id").collect()

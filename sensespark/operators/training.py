@@ -96,9 +96,17 @@ def initial(freqs: np.ndarray, options: Options) -> State:
     if 4 * int(np.prod(size)) > MAX_BYTES:
         raise ValueError(f"parameters of shape {size} are above {MAX_BYTES} bytes; prune the lexicon or lower dim")
     half = 0.5 / options.dim
+
+    def drawn(shape: tuple[int, ...]) -> np.ndarray:
+        out = np.empty(shape, np.float32)
+        # In pieces, so that the numbers in double precision are few at a time.
+        for i in range(0, len(out), 4096):
+            out[i : i + 4096] = rng.uniform(-half, half, out[i : i + 4096].shape)
+        return out
+
     counts = np.zeros(size[:2])
     counts[:, 0] = options.init_count or freqs
-    return State(rng.uniform(-half, half, size).astype(np.float32), rng.uniform(-half, half, (len(freqs), options.dim)).astype(np.float32), counts)
+    return State(drawn(size), drawn((len(freqs), options.dim)), counts)
 
 
 def step(state: State, word: int, context: list[int], codes: list[tuple[np.ndarray, np.ndarray]], freq: float, rate: float, options: Options) -> float:
@@ -152,11 +160,8 @@ def train_documents(docs: DataFrame, lexicon: DataFrame, options: Options) -> tu
 def _rounds(docs: DataFrame, lexicon: DataFrame, options: Options) -> tuple[State, list[float]]:
     """Training on documents (doc_id, words as ids)."""
     spark = docs.sparkSession
-    listed = lexicon.select("word_id", "freq").orderBy("word_id").collect()
-    freqs = np.array([r["freq"] for r in listed], np.float64)
-    paths = huffman.paths(freqs.astype(int).tolist())
-    starts = np.cumsum([0, *map(len, paths)])
-    steps = np.fromiter((2 * n + c for p in paths for n, c in p), np.int64, int(starts[-1]))
+    freqs = lexicon.select("word_id", "freq").orderBy("word_id").toArrow()["freq"].to_numpy().astype(np.float64)
+    starts, steps = huffman.flat_paths(freqs.astype(int).tolist())
     state, means = initial(freqs, options), []
     docs = docs.repartition(options.partitions, "doc_id").sortWithinPartitions("doc_id")
     total = int(freqs.sum()) * options.epochs
@@ -179,6 +184,7 @@ def _rounds(docs: DataFrame, lexicon: DataFrame, options: Options) -> tuple[Stat
 def sense_table(tokens: DataFrame, state: State, lexicon: DataFrame) -> DataFrame:
     """(word_id, sense, cnt, vec) of a trained state."""
     size, meanings, dim = state.inner.shape
-    vectors = pa.FixedSizeListArray.from_arrays(state.inner.ravel().astype(float), dim).cast(pa.list_(pa.float64()))
+    vectors = pa.FixedSizeListArray.from_arrays(state.inner.ravel(), dim).cast(pa.list_(pa.float32()))
     columns = {"word_id": np.repeat(np.arange(size), meanings), "sense": np.tile(np.arange(meanings, dtype=np.int32), size), "cnt": state.counts.ravel(), "vec": vectors}
-    return tokens.sparkSession.createDataFrame(pa.table(columns)).join(lexicon.select("word_id", "word"), "word_id")
+    senses = tokens.sparkSession.createDataFrame(pa.table(columns)).withColumn("vec", F.col("vec").cast("array<double>"))
+    return senses.join(lexicon.select("word_id", "word"), "word_id")

@@ -335,6 +335,18 @@ def test_rounds_are_steps_and_run_no_python(spark, monkeypatch, dim, senses, ski
             assert np.allclose(got, plain, rtol=1e-3, atol=1e-3)
 
 
+def test_flat_paths_are_paths():
+    """The driver held a tuple for each node of each word's path, and all first vectors in double precision."""
+    for freqs in ([4, 2, 1], [7], [5, 5], list(range(1, 60)), [2**i for i in range(20)]):
+        starts, steps = huffman.flat_paths(freqs)
+        got = [[(int(x) >> 1, int(x) & 1) for x in steps[a:b]] for a, b in zip(starts, starts[1:])]
+        assert got == huffman.paths(freqs)
+    rng = np.random.default_rng(666)
+    want = rng.uniform(-0.25, 0.25, (9000, 3, 2)).astype(np.float32), rng.uniform(-0.25, 0.25, (9000, 2)).astype(np.float32)
+    got = training.initial(np.ones(9000), training.Options(dim=2, senses=3))
+    assert np.array_equal(got.inner, want[0]) and np.array_equal(got.outer, want[1])
+
+
 def test_documents_are_subsampled_as_their_tokens(spark):
     whole = spark.createDataFrame([(d, ["often"] * 9 + ["rare"]) for d in range(50)], "doc_id long, words array<string>")
     tokens = whole.select("doc_id", F.posexplode("words").alias("tok_ix", "word"))
